@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import encode
+from tidelog.llm import encode, leakage
 from tidelog.sources import table
 
 
@@ -13,6 +13,21 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids,)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a stretch of a test item's passage, with the item."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("item_id", "doc_id").distinct()
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each leaked stretch stands in its document."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with leaked stretches, without them."""
+    return leakage.cleaned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_spans, p7_cleaned)}
 
 SQL: dict[str, str] = {}
