@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import encode, leakage
+from tidelog.llm import encode, leakage, toxicity
 from tidelog.sources import table
 
 
@@ -28,6 +28,23 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.cleaned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_spans, p7_cleaned)}
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score for abusive, hateful or sexual content."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fitted(docs, table(spark, sf_dir, "doc_reviews")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with such content."""
+    return toxicity.found(p8_scores(spark, sf_dir))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of such documents in each source."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.rates(docs, toxicity.fitted(docs, table(spark, sf_dir, "doc_reviews")))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_spans, p7_cleaned, p8_found, p8_scores, p8_rates)}
 
 SQL: dict[str, str] = {}
