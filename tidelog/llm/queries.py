@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import encode, leakage, toxicity
+from tidelog.llm import encode, leakage, toxicity, turns
 from tidelog.sources import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each speaker's turn in a recording begins and ends."""
+    return turns.bounds(table(spark, sf_dir, "lifelog_contents"), table(spark, sf_dir, "wearers"))
+
+
+def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of every recording with one clean speaker and the clean text."""
+    return turns.turns(table(spark, sf_dir, "lifelog_contents"), table(spark, sf_dir, "wearers"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by the 50k byte-level BPE."""
     return encode.encode(table(spark, sf_dir, "documents"))
@@ -45,6 +55,6 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rates(docs, toxicity.fitted(docs, table(spark, sf_dir, "doc_reviews")))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_spans, p7_cleaned, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p6_ids, p7_found, p7_spans, p7_cleaned, p8_found, p8_scores, p8_rates)}
 
 SQL: dict[str, str] = {}
