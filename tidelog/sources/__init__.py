@@ -1,3 +1,4 @@
+from tidelog.sources.cut import cut
 from tidelog.sources.tables import latest_delivery, table
 
-__all__ = ["latest_delivery", "table"]
+__all__ = ["cut", "latest_delivery", "table"]
