@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import encode, leakage, toxicity, turns
+from tidelog.llm import encode, leakage, names, toxicity, turns
 from tidelog.sources import table
 
 
@@ -18,6 +18,16 @@ def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.turns(table(spark, sf_dir, "lifelog_contents"), table(spark, sf_dir, "wearers"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of spellings of one person or organisation."""
+    return names.same(names.linked(table(spark, sf_dir, "lifelog_contents")))
+
+
+def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with its uses and its entity's canonical form."""
+    return names.linked(table(spark, sf_dir, "lifelog_contents"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by the 50k byte-level BPE."""
     return encode.encode(table(spark, sf_dir, "documents"))
@@ -55,6 +65,6 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rates(docs, toxicity.fitted(docs, table(spark, sf_dir, "doc_reviews")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p6_ids, p7_found, p7_spans, p7_cleaned, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p4_found, p4_entities, p6_ids, p7_found, p7_spans, p7_cleaned, p8_found, p8_scores, p8_rates)}
 
 SQL: dict[str, str] = {}
