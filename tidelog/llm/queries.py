@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import encode, leakage, names, toxicity, turns
+from tidelog.llm import encode, leakage, names, pii, toxicity, turns
 from tidelog.sources import table
 
 
@@ -18,6 +18,24 @@ def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.turns(table(spark, sf_dir, "lifelog_contents"), table(spark, sf_dir, "wearers"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item of personal information in the latest deliveries of recordings and nodes."""
+    finder = pii.finder(table(spark, sf_dir, "wearers"))
+    logs = pii.found(table(spark, sf_dir, "lifelogs"), "id", ["title", "markdown"], finder)
+    nodes = pii.found(table(spark, sf_dir, "lifelog_contents"), "node_id", ["content"], finder)
+    return logs.unionByName(nodes).select("field", "record_key", "pii_kind", "start_pos")
+
+
+def p3_cleaned_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All deliveries of recordings with placeholders in title and markdown."""
+    return pii.cleaned(table(spark, sf_dir, "lifelogs"), ["title", "markdown"], pii.finder(table(spark, sf_dir, "wearers")))
+
+
+def p3_cleaned_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All deliveries of nodes with placeholders in their content."""
+    return pii.cleaned(table(spark, sf_dir, "lifelog_contents"), ["content"], pii.finder(table(spark, sf_dir, "wearers")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair of spellings of one person or organisation."""
     return names.same(names.linked(table(spark, sf_dir, "lifelog_contents")))
@@ -65,6 +83,6 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rates(docs, toxicity.fitted(docs, table(spark, sf_dir, "doc_reviews")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p4_found, p4_entities, p6_ids, p7_found, p7_spans, p7_cleaned, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p3_found, p3_cleaned_recordings, p3_cleaned_nodes, p4_found, p4_entities, p6_ids, p7_found, p7_spans, p7_cleaned, p8_found, p8_scores, p8_rates)}
 
 SQL: dict[str, str] = {}
