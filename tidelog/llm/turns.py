@@ -190,13 +190,11 @@ def utterances(nodes: DataFrame, wearers: DataFrame, with_text: bool = False) ->
     columns = ["offset_ms", "start_ms", "said", "key"] + (["speaker", "text"] if with_text else [])
     ddl = "node_id bigint, lifelog_id string, received_at bigint, offset_ms bigint, start_ms bigint, said boolean, key bigint" + (", speaker string, text string" if with_text else "")
     parsed = joined.mapInArrow(_parser(with_text), ddl).withColumn("received_at", F.timestamp_micros("received_at"))
-    latest = latest_delivery(parsed, ["node_id", "lifelog_id"], columns).where("lifelog_id is not null")
-    # Offsets are rarely missing: only those rows meet the recordings' true starts.
-    start = latest.where("start_ms is not null").groupBy("lifelog_id").agg(F.coalesce(F.mode(F.col("start_ms") - F.col("offset_ms"), True), F.min("start_ms")).alias("true_start"))
-    spoken = latest.where("said")
-    whole = spoken.where("offset_ms is not null").withColumn("at", F.col("offset_ms"))
-    late = spoken.where("offset_ms is null").join(start, "lifelog_id", "left").withColumn("at", F.coalesce(F.col("start_ms") - F.col("true_start"), F.lit(0))).drop("true_start")
-    return whole.unionByName(late).drop("offset_ms", "start_ms", "said")
+    spoken = latest_delivery(parsed, ["node_id", "lifelog_id"], columns).where("said and lifelog_id is not null")
+    # Offsets are rarely missing: only recordings that lack one give their true start, from their raw rows.
+    start = rows.groupBy("lifelog_id").agg(F.coalesce(F.mode(F.col("start_ms") - F.col("offset_ms"), True), F.min("start_ms")).alias("true_start"), F.count_if(F.col("offset_ms").isNull()).alias("lacking"))
+    joined = spoken.join(start.where("lacking > 0").drop("lacking"), "lifelog_id", "left")
+    return joined.withColumn("at", F.coalesce("offset_ms", F.col("start_ms") - F.col("true_start"), F.lit(0))).drop("offset_ms", "start_ms", "said", "true_start")
 
 
 def numbered(spoken: DataFrame, stretch_ms: int = STRETCH_MS) -> DataFrame:
