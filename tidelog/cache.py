@@ -1,0 +1,97 @@
+"""Kept results of queries: least recently used first out, and none older than its time."""
+
+from __future__ import annotations
+
+import json
+import time
+from collections import OrderedDict
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
+
+
+@dataclass
+class Stats:
+    hits: int = 0
+    misses: int = 0
+    evictions: int = 0
+
+    @property
+    def hit_rate(self) -> float:
+        return self.hits / (self.hits + self.misses) if self.hits + self.misses else 0.0
+
+
+def key(kind: str, **params: Any) -> str:
+    """A key that doesn't depend on the order of parameters; terms count in lower case, projections are part of it."""
+    return kind + ":" + json.dumps({k: v.lower() if k == "term" else v for k, v in params.items() if v is not None}, sort_keys=True, default=str)
+
+
+class PlanCache:
+    """At most ``size`` values, each for ``ttl`` seconds. ``evicted`` is called with each that leaves, to unpersist it."""
+
+    def __init__(self, size: int = 100, ttl: float = 300.0, evicted: Callable[[str, Any], None] | None = None, clock: Callable[[], float] = time.monotonic):
+        self.size, self.ttl, self.evicted, self.clock = size, ttl, evicted, clock
+        self.stats = Stats()
+        self._rows: OrderedDict[str, tuple[float, Any]] = OrderedDict()
+
+    def _drop(self, name: str) -> None:
+        value = self._rows.pop(name)[1]
+        if self.evicted:
+            self.evicted(name, value)
+
+    def get(self, name: str) -> Any | None:
+        row = self._rows.get(name)
+        if row and self.clock() - row[0] > self.ttl:
+            self._drop(name)
+            row = None
+        if not row:
+            self.stats.misses += 1
+            return None
+        self.stats.hits += 1
+        self._rows.move_to_end(name)
+        return row[1]
+
+    def put(self, name: str, value: Any) -> None:
+        if name in self._rows:
+            self._rows.pop(name)
+        elif len(self._rows) >= self.size:
+            self.stats.evictions += 1
+            self._drop(next(iter(self._rows)))
+        self._rows[name] = self.clock(), value
+
+    def get_or(self, name: str, make: Callable[[], Any]) -> Any:
+        """The kept value, or a new one; a DataFrame is persisted, and unpersisted when it leaves."""
+        value = self.get(name)
+        if value is None:
+            value = make()
+            if hasattr(value, "persist"):
+                value = value.persist()
+            self.put(name, value)
+        return value
+
+    def __contains__(self, name: str) -> bool:
+        row = self._rows.get(name)
+        return row is not None and self.clock() - row[0] <= self.ttl
+
+    def __len__(self) -> int:
+        return len(self._rows)
+
+    def delete(self, name: str) -> bool:
+        if name not in self._rows:
+            return False
+        self._drop(name)
+        return True
+
+    def clear(self) -> None:
+        for name in list(self._rows):
+            self._drop(name)
+
+
+def unpersist(_: str, value: Any) -> None:
+    if hasattr(value, "unpersist"):
+        value.unpersist()
+
+
+def standard() -> dict[str, PlanCache]:
+    """Caches of rows, listings and searches with their usual sizes and times."""
+    return {"row": PlanCache(100, 300, unpersist), "listing": PlanCache(100, 300, unpersist), "search": PlanCache(50, 180, unpersist)}

@@ -1,0 +1,45 @@
+"""Request templates: named wordings with arguments, the intent behind a request, and the context put into it."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+
+@dataclass(frozen=True)
+class Template:
+    wording: str
+    required: tuple[str, ...] = ()
+    optional: dict[str, str] = field(default_factory=dict)
+
+    def expanded(self, **given: str) -> str:
+        """The wording with its arguments; a required one that is missing or empty is an error."""
+        missing = [a for a in self.required if not given.get(a)]
+        if missing:
+            raise ValueError("missing arguments: " + ", ".join(missing))
+        values = self.optional | {k: v for k, v in given.items() if v}
+        return re.sub(r"\{(\w+)\}", lambda m: values.get(m.group(1), m.group()), self.wording)
+
+
+TEMPLATES = {
+    "day": Template("Tell me what happened on {date}, with an emphasis on {focus}.", ("date",), {"focus": "decisions and open points"}),
+    "meeting": Template("List decisions, tasks and their owners from the recording {id}.", ("id",)),
+    "find": Template("Look for {topic} in the recordings from {start} to {end} and quote each place.", ("topic",), {"start": "the first", "end": "the last"}),
+    "compare": Template("What changed between the recordings {first} and {second}?", ("first", "second")),
+    "patterns": Template("Which subjects come up again and again in these recordings?\n{content}", ("content",)),
+}
+_INTENTS = [("summary", re.compile(r"\b(?:summari[sz]e|summary of)\b\s*(?P<of>.*)", re.I)), ("extract", re.compile(r"\bextract\s+(?P<what>.+?)\s+from\s+(?P<of>.+)", re.I)), ("patterns", re.compile(r"\banaly[sz]e\b.*?\bpatterns?\b(?:\s+in)?\s*(?P<of>.*)", re.I))]
+ADDRESS = re.compile(r"lifelog://(?:recent|\d{4}-\d{2}-\d{2}(?:/[^\s,;]+)?)")
+
+
+def intent(request: str) -> tuple[str, dict[str, str]] | None:
+    """What a request asks for and of what; None if it is none of the known kinds."""
+    for name, pattern in _INTENTS:
+        if m := pattern.search(request):
+            return name, {k: v.strip() for k, v in m.groupdict().items()}
+    return None
+
+
+def addresses(request: str) -> list[str]:
+    """The URIs in a request, whole, to be read and put in their place."""
+    return ADDRESS.findall(request)
