@@ -41,7 +41,7 @@ def is_date_time(text: str) -> bool:
 
 def valid_date(c: Column) -> Column:
     """:func:`is_date` of a string column; null counts as no date."""
-    return F.coalesce(c.rlike(DATE) & F.try_to_date(c, F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
+    return F.coalesce(c.rlike(DATE) & F.try_to_date(c, "yyyy-MM-dd").isNotNull(), F.lit(False))
 
 
 def iso_date(ts: Column) -> Column:
