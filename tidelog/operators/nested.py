@@ -20,7 +20,7 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def _is_object(v: str) -> str:
-    return f"try_variant_get({v}, '$', 'map<string,variant>') is not null"
+    return f"try_variant_get({v}, '$', 'struct<id:variant>') is not null"  # cast to a field or two: a map would copy the object
 
 
 def _as_list(v: str, n: str) -> str:
@@ -28,7 +28,7 @@ def _as_list(v: str, n: str) -> str:
 
     ``n`` keeps the names of nested lambdas apart.
     """
-    of = lambda x: f"case when try_variant_get({x}, '$', 'array<variant>') is not null then try_variant_get({x}, '$', 'array<variant>') when {_is_object(x)} then array({x}) end"
+    of = lambda x: f"coalesce(try_variant_get({x}, '$', 'array<variant>'), if({_is_object(x)}, array({x}), null))"
     text = _let(f"try_parse_json(try_variant_get(v{n}, '$', 'string'))", f"t{n}", of(f"t{n}"))
     return _let(v, f"v{n}", f"coalesce({of(f'v{n}')}, {text})")
 
@@ -50,7 +50,7 @@ def _all_nodes(contents: str, bound: str) -> str:
 
 
 def parsed(df: DataFrame, body: str = "body") -> DataFrame:
-    """``df`` with ``_recordings``, the recordings of each body with their nodes; rows without any are left out.
+    """``df`` with ``_recordings``, the recordings of each body with their nodes; null or empty without any.
 
     Read are bodies of valid JSON, as a list of recordings or an object with ``data`` that is such a
     list, one recording, or an object with ``lifelogs`` or ``lifelog``. Null, empty, cut off or other
@@ -61,7 +61,9 @@ def parsed(df: DataFrame, body: str = "body") -> DataFrame:
     whole = "try_variant_get(_v, '$', 'array<variant>')"
     records = f"coalesce({_as_list(get('$.data.lifelogs'), 'a')}, {_as_list(get('$.data.lifelog'), 'b')}, {lone}, {_as_list(get('$.lifelogs'), 'g')}, {whole})"
     bound = F.size(F.split(F.col(body), "children", -1)).cast("int")
-    with_records = df.withColumn("_v", F.try_parse_json(F.col(body))).where("_v is not null").withColumn("_bound", bound).withColumn("_r", F.expr(f"filter({records}, x -> {_is_object('x')})")).where("size(_r) > 0")
+    # No filter on what is parsed, and inline_outer with the test behind it: Spark pushes a filter below the
+    # projection, also the one it infers for a plain inline, and would parse again for each mention.
+    with_records = df.withColumn("_v", F.try_parse_json(F.col(body))).withColumn("_bound", bound).withColumn("_r", F.expr(f"filter({records}, x -> {_is_object('x')})"))
     text = lambda path: f"try_variant_get(x, '{path}', 'string')"
     recordings = (
         f"transform(_r, (x, n) -> struct(n as recording_no, {text('$.id')} as lifelog_id, {text('$.title')} as title, {text('$.markdown')} as markdown,"
@@ -77,7 +79,7 @@ def recordings(df: DataFrame, key: str, body: str = "body") -> DataFrame:
     times stay as written.
     """
     one = F.expr("transform(_recordings, r -> struct(r.recording_no, r.lifelog_id, r.title, r.markdown, r.start_time, r.end_time, size(r.nodes) as n_nodes))")
-    return parsed(df.select(key, body), body).select(key, one.alias("_one")).selectExpr(f"`{key}`", "inline(_one)")
+    return parsed(df.select(key, body), body).select(key, one.alias("_one")).selectExpr(f"`{key}`", "inline_outer(_one)").where("recording_no is not null")
 
 
 def nodes(df: DataFrame, key: str, body: str = "body") -> DataFrame:
@@ -96,10 +98,10 @@ def nodes(df: DataFrame, key: str, body: str = "body") -> DataFrame:
         f" size(split(m.path, '[.]')) as depth, {text('type')} as node_type, {text('content')} as content, {text('startTime')} as start_time, {text('endTime')} as end_time,"
         f" {number('startOffsetMs')} as start_offset_ms, {number('endOffsetMs')} as end_offset_ms, {text('speakerName')} as speaker_name, {text('speakerIdentifier')} as speaker_identifier))))"
     )
-    return parsed(df.select(key, body), body).select(key, F.expr(rows).alias("_rows")).selectExpr(f"`{key}`", "inline(_rows)")
+    return parsed(df.select(key, body), body).select(key, F.expr(rows).alias("_rows")).selectExpr(f"`{key}`", "inline_outer(_rows)").where("node_path is not null")
 
 
 def paths(df: DataFrame, key: str, body: str = "body") -> DataFrame:
     """(key, lifelog_id, node_path, parent_path): the links of :func:`nodes` alone, without the nodes' fields."""
     rows: Column = F.expr("flatten(transform(_recordings, r -> transform(r.nodes, m -> struct(r.lifelog_id as lifelog_id, m.path as node_path, m.parent as parent_path))))")
-    return parsed(df.select(key, body), body).select(key, rows.alias("_rows")).selectExpr(f"`{key}`", "inline(_rows)")
+    return parsed(df.select(key, body), body).select(key, rows.alias("_rows")).selectExpr(f"`{key}`", "inline_outer(_rows)").where("node_path is not null")
