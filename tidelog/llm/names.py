@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from tidelog.llm.turns import NOBODY, OWN
 from tidelog.sources import cut
 
+#: Letters up to which typos are looked for in a word, or in an organisation's words together.
+LONGEST = 100
 #: Log-likelihoods of the channel's ways to write a name.
 TYPO, NICKNAME, INITIAL, USER_NAME = -4.0, -2.3, -2.5, -4.0
 #: Forms of address, roles after a name, legal forms and what else follows an organisation's name.
@@ -93,8 +95,8 @@ def form_of(name: str) -> str | None:
 
 
 def _less(w: str) -> set[str]:
-    """A word and its forms with one letter left out."""
-    return {w} | {w[:k] + w[k + 1 :] for k in range(len(w))}
+    """A word and its forms with one letter left out; what is longer than any name's word counts only as it stands."""
+    return {w} | {w[:k] + w[k + 1 :] for k in range(len(w) if len(w) <= LONGEST else 0)}
 
 
 def keys_of(form: str) -> tuple[set[str], set[str]]:

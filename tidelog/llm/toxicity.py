@@ -36,7 +36,6 @@ STAND_INS = str.maketrans("013457@$!|", "oieastasii")
 HIDDEN = "*#_"
 
 _TAG = re.compile(r"<[^<>]*>|&[a-z]+;")
-_EDGE = re.compile(r"^[^\w@$]+|[^\w]+$")
 _RUN = re.compile(r"(.)\1{2,}")
 _SPACED = re.compile(r"(?<!\S)(?:[a-z] ){2,}[a-z](?![^\W\d_])")
 _BREAK = "\n"
@@ -47,7 +46,13 @@ def plain_word(raw: str) -> str:
 
     A hidden letter stays as ``?``.
     """
-    w = _EDGE.sub("", _TAG.sub("", raw))
+    w = _TAG.sub("", raw) if "<" in raw or "&" in raw else raw
+    begin, end = 0, len(w)
+    while begin < end and not (w[begin].isalnum() or w[begin] in "_@$"):
+        begin += 1
+    while end > begin and not (w[end - 1].isalnum() or w[end - 1] == "_"):
+        end -= 1
+    w = w[begin:end]
     if w.isalpha():
         return _RUN.sub(r"\1", w)
     if not any(c.isalpha() for c in w) and not any(c in "@$!" for c in w) and not re.fullmatch(r"\d[a-z\d]*", w):

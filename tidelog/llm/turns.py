@@ -41,12 +41,14 @@ _CLOSE = {"[": "]", "(": ")", "{": "}", "<": ">"}
 _SOUND = re.compile(r"(?!(?:the|a|an|this|that|which|who|and|or|but)\b)[^\W\d]+(?: [^\W\d]+){0,2}", re.I)
 _STARRED = re.compile(r"\*[^*\n]{1,40}\*")
 _NOTES = re.compile(r"♪(?:\s*♪)*")
-_HESITATION = r"(?:u+h*m+|u+h+|e+r+m*|h+m+|m+h*m+)"
+# Possessive, so that no run of letters is split in more than one way.
+_HESITATION = r"(?:u++h*+m++|u++h++|e++r++m*+|h++m++|m++h++m++|mm++)"
 _LOOSE = re.compile(rf"(?:\s*[,—-]+)?\s*\b{_HESITATION}\b(?:\s*(?:\.{{3}}|…|—|,))?", re.I)
 _SET_OFF = re.compile(r"(?:—\s*(?:well|like|you know|i mean|so|okay)\s*—|(?:^|(?<=,)|(?<=\s))\s*(?:well|like|you know|i mean)\s*(?:\.{3}|…)|,\s*(?:well|like|you know|i mean)\s*,|^(?:well|like|you know|i mean)\s*,)", re.I)
 _AGAIN = re.compile(r"\b(\w+)-\s+(?=\1\b)", re.I)
-_ALL_HESITATION = re.compile(rf"(?:{_HESITATION}|\W|_)*", re.I)
+_ALL_HESITATION = re.compile(rf"(?:\b{_HESITATION}\b|[\W_])*+", re.I)
 _SPACE = re.compile(r"\s+")
+_BLANKS = re.compile(r"\s*")
 
 
 def _annotations(s: str) -> dict[int, int]:
@@ -85,13 +87,13 @@ def parse(content: str) -> tuple[str | None, list[str], str]:
     label, sounds, at, n = None, [], 0, len(content)
     ends = _annotations(content) if _OPEN.search(content) else {}
     while at < n:  # prefix
-        if m := _TIME.match(content, at):
+        if content[at].isspace():
+            at = _BLANKS.match(content, at).end()
+        elif m := _TIME.match(content, at):
             at = m.end()
         elif label is None and (m := _LABEL.match(content, at)):
             number = m.group(1) or m.group(2)
             label, at = f"speaker {int(number)}" if number else m.group(3), m.end()
-        elif content[at].isspace():
-            at += 1
         elif (end := ends.get(at)) and _is_sound(content[at:end]):
             sounds.append(content[at:end])
             at = end
@@ -110,7 +112,8 @@ def clean(speech: str) -> str:
     """The speech without hesitations, set-off filler words, broken-off repetitions and stray blanks; '' if nothing is said."""
     if _ALL_HESITATION.fullmatch(speech):
         return ""
-    said = _AGAIN.sub("", _SET_OFF.sub(" ", _LOOSE.sub(" ", speech)))
+    said = _SPACE.sub(" ", _LOOSE.sub(" ", _SPACE.sub(" ", speech)))  # a run of blanks would be tried from each of them
+    said = _AGAIN.sub("", _SET_OFF.sub(" ", said))
     said = re.sub(r"\s+([,.!?;:])", r"\1", _SPACE.sub(" ", said)).strip(" ,—-")
     return said[:1].upper() + said[1:]
 
