@@ -85,4 +85,22 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p3_found, p3_cleaned_recordings, p3_cleaned_nodes, p4_found, p4_entities, p6_ids, p7_found, p7_spans, p7_cleaned, p8_found, p8_scores, p8_rates)}
 
-SQL: dict[str, str] = {}
+#: Brackets one level deep, as in the tables, can be matched without a grammar.
+SQL: dict[str, str] = {
+    "p2_found": r"""
+with nodes as (select * from (select *, row_number() over (partition by node_id, lifelog_id order by received_at desc nulls last) as rn from lifelog_contents) where rn = 1),
+starts as (select lifelog_id, coalesce(mode(epoch_ms(start_time) - start_offset_ms), min(epoch_ms(start_time))) as true_start from lifelog_contents group by lifelog_id),
+quotes as (select n.*, coalesce(start_offset_ms, epoch_ms(start_time) - true_start, 0) as at_ms, regexp_replace(replace(coalesce(content, ''), chr(160), ' '), '^\s*(\[\d{1,2}:\d{2}(:\d{2})?([.,]\d{1,3})?\]|\(\d{1,2}:\d{2}(:\d{2})?([.,]\d{1,3})?\)|<\d{1,2}:\d{2}(:\d{2})?([.,]\d{1,3})?>|\d{1,2}:\d{2}(:\d{2})?([.,]\d{1,3})?\s*-->|\d{1,2}:\d{2}:\d{2}([.,]\d{1,3})?(\s|$))\s*', '') as said,
+    lower(regexp_replace(trim(regexp_replace(speaker_name, '[\s:>-]+$', '')), '\s+', ' ', 'g')) as label, lower(trim(regexp_replace(display_name, '\s+', ' ', 'g'))) as wearer
+  from nodes n left join starts using (lifelog_id) left join (select wearer_id, max(display_name) as display_name from wearers group by wearer_id) using (wearer_id) where lower(trim(node_type)) = 'blockquote'),
+spoken as (select *, case when lower(trim(speaker_identifier)) = 'user' or label in ('you', 'me', 'i', 'myself', 'self', 'user', 'wearer', 'owner') or label = wearer then 'wearer'
+    when regexp_full_match(label, '(speaker|spk|s)[\s_#.-]*0*(\d+)') then 'speaker ' || cast(cast(regexp_extract(label, '(\d+)$', 1) as int) as varchar)
+    when label is not null and label not in ('', 'unknown', 'noise', 'speaker ?', '?') then label
+    when regexp_matches(lower(said), '^\s*(\[\s*(speaker|spk|s)[\s_#.-]*0*(\d+)\s*\]|(speaker|spk|s)[\s_#.-]*0*(\d+)\s*(:|>|\s-\s))\s*') then 'speaker ' || cast(cast(regexp_extract(lower(said), '^[^0-9]*(\d+)', 1) as int) as varchar) end as who
+  from quotes where regexp_matches(regexp_replace(regexp_replace(regexp_replace(lower(said), '^\s*(\[\s*(speaker|spk|s)[\s_#.-]*0*(\d+)\s*\]|(speaker|spk|s)[\s_#.-]*0*(\d+)\s*(:|>|\s-\s))\s*', ''), '(\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>|\((door closes|phone rings|coughs|long pause)\)|\*[^*]{1,40}\*|♪)', ' ', 'g'), '\b(u+h*m+|u+h+|e+r+m*|h+m+|m+h*m+)\b', ' ', 'g'), '[\p{L}\p{N}]')),
+carried as (select *, last_value(who ignore nulls) over (partition by lifelog_id order by at_ms, node_id rows unbounded preceding) as speaker from spoken),
+marked as (select *, case when row_number() over w = 1 or speaker is distinct from lag(speaker) over w then 1 else 0 end as opens from carried window w as (partition by lifelog_id order by at_ms, node_id)),
+numbered as (select *, sum(opens) over (partition by lifelog_id order by at_ms, node_id rows unbounded preceding) as turn_no from marked)
+select lifelog_id, cast(turn_no as bigint) as turn_no, arg_min(node_id, struct_pack(a := at_ms, b := node_id)) as first_node_id, arg_max(node_id, struct_pack(a := at_ms, b := node_id)) as last_node_id from numbered group by lifelog_id, turn_no
+"""
+}
