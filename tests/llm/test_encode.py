@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,6 +44,9 @@ def test_whole_documents(spark, reference, monkeypatch):
 def test_hot_chunk(spark, reference):
     text = "This call may be recorded for training. " * 40
     df = spark.range(3000).selectExpr("id as doc_id", f"'{text}' as text").coalesce(1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9000)), pa.array([text] * 9000)], names=["doc_id", "text"])
+    groups = Counter((h, s) for b in encode.chunked(iter([batch])) for h, s in zip(b.column("hash").to_pylist(), b.column("salt").to_pylist()))
+    assert max(groups.values()) <= encode.OWN
     got = encode.encode(df).collect()
     assert len(got) == 3000 and {tuple(r.ids) for r in got} == {tuple(reference(text))}
 

@@ -3,8 +3,10 @@
 1. A rolling hash over the bytes cuts every text into content-defined chunks; the same passage gives
    the same chunks wherever it stands.
 2. Rows are shuffled by the chunk's 128-bit hash and each distinct chunk is encoded once; a task sends
-   a chunk's text only at its first occurrence. A chunk that a task sees very often (a boilerplate, a
-   text copied a million times) is salted over ``HOT_SALTS`` groups, so no task gets all its rows.
+   a chunk's text only at its first occurrence. Of a chunk that a task sees often (a boilerplate, a
+   text copied a million times) only the first ``SHARED`` rows go to the group that all tasks share;
+   the rest go to groups of the task's own, of ``OWN`` rows at most and encoded once each. So no group
+   grows with the number of copies, only, by a few rows, with the number of tasks.
 3. Tokens are shuffled back by document and the joins repaired: a join between words is exact as it
    stands; at any other, the last word of the left chunk is re-encoded with what follows until a word
    boundary of the right chunk is met again, from where both agree to the end.
@@ -21,6 +23,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +33,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of a chunk: least, usual (a power of two), most; bytes from a cut's place to look for a word's start.
 LEAST, USUAL, MOST, REACH = 128, 512, 8192, 64
 WINDOW = 16
-#: Occurrences of a chunk in one task before it is salted, number of salts, chunks a task remembers.
-HOT, HOT_SALTS, REMEMBERED = 256, 32, 1_000_000
+#: Rows of a chunk that a task gives to the group shared by all, rows of its own groups, chunks it remembers.
+SHARED, OWN, REMEMBERED = 8, 4096, 1_000_000
 _GEAR = np.random.default_rng(20240917).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 _WORD = regex.compile(PATTERN)
 
@@ -90,6 +93,7 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) rows to chunk rows; null and empty texts give one empty chunk."""
     seen: dict[bytes, int] = {}
     sent: set[tuple[bytes, int]] = set()
+    task = TaskContext.get().partitionId() if TaskContext.get() else 0
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_string()).fill_null("")
         offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
@@ -107,7 +111,7 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = xxhash.xxh3_128_digest(part)
                 n = seen.get(h, 0)
                 seen[h] = n + 1
-                salt = 0 if n < HOT else 1 + (n // HOT) % HOT_SALTS
+                salt = 0 if n < SHARED else (task * 1_000_003 + n // OWN) & 0x3FFFFFFF | 0x40000000
                 fresh = (h, salt) not in sent
                 if fresh:
                     if len(sent) >= REMEMBERED:  # forgetting costs only texts sent again
@@ -121,7 +125,7 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _CHUNK)], schema=_CHUNK)
         if len(seen) > REMEMBERED:
-            seen = {h: n for h, n in seen.items() if n >= HOT}
+            seen = {h: n for h, n in seen.items() if n >= SHARED}
 
 
 def _encoded(path: str):
