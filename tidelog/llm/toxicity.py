@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 FIT_DOCS, FIT_CHARS, ROUNDS, WINDOW = 20_000, 200_000, 4, 5
 DISCOUNT = 0.75
 #: Mean log-likelihood ratio (nats a word) from which a passage offends in refitting, and from which a document is found.
-PASSAGE, FOUND = 1.0, 2.8
+PASSAGE, FOUND = 1.0, 3.0
 #: Occurrences in reviewed documents that don't yet count for a passage in refitting; tokens a task remembers.
 SUPPORT = 2
 REMEMBERED = 1_000_000
