@@ -3,6 +3,8 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
+
 from tidelog.llm import leakage
 
 ITEMS = "item_id bigint, text string, doc_id int"
@@ -70,3 +72,54 @@ def test_empty(spark):
     none = spark.createDataFrame([], DOCS)
     assert leakage.leaks(none, some).count() == 0
     assert leakage.leaks(spark.createDataFrame([(1, "a b", 1, "x")], DOCS), spark.createDataFrame([], ITEMS)).count() == 0
+
+
+def test_quotation_beside_a_changed_stretch(spark):
+    ws = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(104)]
+    changed = [*ws[:25]]
+    changed[8] = changed[17] = "other"
+    own = [f"own{chr(97 + k)}" for k in range(20)]
+    docs = [(1, " ".join(changed + own + ws[:12]), 7, "x"), (2, " ".join(ws[:12] + own + changed), 7, "x"), (3, " ".join(ws[:12] + own + ws[:12]), 7, "x")]
+    got = leakage.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(5, " ".join(ws), 1)], ITEMS)).collect()
+    assert {(r.item_id, r.doc_id, r.n_words) for r in got} == {(5, 1, 25), (5, 2, 25)} and len(got) == 2
+    texts = {d: t for d, t, *_ in docs}
+    assert all(texts[r.doc_id][r.start_pos - 1 : r.end_pos].split() == changed for r in got)
+
+
+def all_alignments(item, doc):
+    """Whether ``doc`` holds a stretch of ``item``: the earliest begin by match and errors, from every match before."""
+    most = len(item) // 10
+    first = {}
+    for i in range(len(item)):
+        for j in range(len(doc)):
+            if item[i] == doc[j]:
+                here = {0: i}
+                for (p, q), states in first.items():
+                    if p < i and q < j and (gap := max(i - p, j - q) - 1) <= most:
+                        for e, a in states.items():
+                            if e + gap <= most:
+                                here[e + gap] = min(a, here.get(e + gap, i))
+                first[i, j] = here
+                if any(i - a + 1 >= 20 and 10 * e <= i - a + 1 for e, a in here.items()):
+                    return True
+    return False
+
+
+def test_against_all_alignments():
+    rnd = random.Random(3)
+    seen = []
+    for _ in range(300):
+        item = rnd.choices(range(1, rnd.choice([3, 8, 200])), k=rnd.randint(20, 34))
+        a = rnd.randint(0, 6)
+        doc = item[a : a + rnd.randint(17, 26)]
+        for _ in range(rnd.randint(0, 3)):
+            k = rnd.randrange(len(doc))
+            doc[k : k + rnd.randint(0, 1)] = rnd.choice([[], [0], [0], item[:1]])
+        doc = rnd.choice([[], item[:9], [0, 0]]) + doc + rnd.choice([[], [0] * 5 + item[:10], [0]])
+        x, y = np.asarray(item), np.asarray(doc)
+        grams = [(i, j) for i in range(len(item) - 5) for j in range(len(doc) - 5) if item[i : i + 6] == doc[j : j + 6]]
+        runs = leakage._runs(np.asarray([j for _, j in grams]), np.asarray([i for i, _ in grams])) if grams else []
+        found = any(leakage.longest(x, y, *r) for r in runs)
+        assert found == all_alignments(item, doc), (item, doc)
+        seen.append(found)
+    assert 60 < sum(seen) < 280

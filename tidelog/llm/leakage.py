@@ -4,7 +4,8 @@ The n-grams of the normalised test items form a hash table that is broadcast; ev
 scanned once by the windows of its normalised words, in Arrow batches. A stretch of at least
 ``STRETCH`` words with at most one in ten changed or missing holds ``SEEDS`` intact n-grams or more,
 so a document with fewer for an item cannot hold one of its stretches; the rest are verified by
-aligning words. Nothing is shuffled: the corpus is read, scanned and left where it is.
+aligning words from each run of intact n-grams to both sides, over all alignments that the errors
+allow. Nothing is shuffled: the corpus is read, scanned and left where it is.
 
 The table's size is checked: items of more than ``BLOCK_WORDS`` words in all are taken in blocks of
 about that size, each with its own broadcast and scan, so no item and no document is left out.
@@ -15,7 +16,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -55,15 +55,15 @@ def _hashes(ids: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """The broadcast table: word ids, sorted n-gram hashes with their items and places, and the items' words."""
+    """The broadcast table: word ids, sorted n-gram hashes with their items and places, and the items' word ids."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
-        self.items: dict[int, list[str]] = {}
+        self.items: dict[int, np.ndarray] = {}
         hashes, owners, places = [], [], []
         for item, text in rows:
-            self.items[item] = ws = words(text)
-            ids = np.asarray([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.uint64)
+            ids = np.asarray([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.uint64)
+            self.items[item] = ids.astype(np.int64)
             h = _hashes(ids)
             hashes.append(h)
             owners.append(np.full(len(h), item, np.int64))
@@ -86,21 +86,69 @@ class Items:
         return at, self.owners[row], self.places[row]
 
 
-def longest(item: list[str], doc: list[str]) -> tuple[int, int, int] | None:
-    """(words, begin, end) of the longest stretch of the item in ``doc``, begin and end by words of ``doc``."""
-    blocks = [b for b in SequenceMatcher(None, item, doc, autojunk=False).get_matching_blocks() if b.size]
-    best = None
-    for i, first in enumerate(blocks):
-        errors = 0
-        for j in range(i, len(blocks)):
-            last = blocks[j]
-            if j > i:
-                before = blocks[j - 1]
-                errors += max(last.a - before.a - before.size, last.b - before.b - before.size)
-            n = last.a + last.size - first.a
-            if n >= STRETCH and errors * ONE_IN <= n and (best is None or n > best[0]):
-                best = n, first.b, last.b + last.size
-    return best
+def _reach(item: np.ndarray, doc: np.ndarray, most: int) -> dict[int, tuple[int, int]]:
+    """By errors, ``most`` at most: (words of ``item``, words of ``doc``) up to the farthest match with so many before it.
+
+    Both are read from their beginning; an error is a word changed, missing or put in between. All
+    alignments count: their edit distances fill the band of ``most`` diagonals to either side.
+    """
+    far = {0: (0, 0)}
+    across = np.arange(2 * most + 1)
+    errors = np.where(across >= most, across - most, len(item) + len(across))
+    padded = np.full(len(item) + 2 * most, -1, np.int64)
+    part = doc[: len(item) + most]
+    padded[most : most + len(part)] = part
+    for i, w in enumerate(item.tolist(), 1):
+        same = padded[i - 1 : i + 2 * most] == w
+        ends = np.where(same, errors, most + 1)
+        at = int(ends.argmin())
+        if ends[at] <= most:
+            far[int(ends[at])] = i, i + at - most
+        step = errors + ~same
+        step[:-1] = np.minimum(step[:-1], errors[1:] + 1)
+        errors = np.minimum.accumulate(step - across) + across
+        if errors.min() > most:
+            break
+    return far
+
+
+def _around(item: np.ndarray, doc: np.ndarray, a: int, b: int, n: int) -> tuple[tuple[int, int, int] | None, bool]:
+    """The longest stretch around the ``n`` words from ``a`` of the item that stand from ``b`` in ``doc``, and whether any nearly is one."""
+    most = len(item) // ONE_IN
+    left = [(e, *x) for e, x in _reach(item[:a][::-1], doc[max(0, b - a - most) : b][::-1], most).items()]
+    right = [(e, *x) for e, x in _reach(item[a + n :], doc[b + n : b + n + len(item) + most], most).items()]
+    (e1, i1, j1), (e2, i2, j2) = np.array(left).T, np.array(right).T
+    size, errors = i1[:, None] + n + i2, e1[:, None] + e2
+    fits = np.where((size >= STRETCH) & (errors * ONE_IN <= size), size, 0)
+    k, m = np.unravel_index(fits.argmax(), fits.shape)
+    near = bool(((size >= STRETCH - STRETCH // ONE_IN) & (errors <= STRETCH // ONE_IN)).any())
+    return ((int(fits[k, m]), b - int(j1[k]), b + n + int(j2[m])) if fits[k, m] else None), near
+
+
+def longest(item: np.ndarray, doc: np.ndarray, a: int, b: int, n: int) -> tuple[int, int, int] | None:
+    """(words, begin, end) of the longest stretch of the item that goes through its ``n`` words from ``a``, which
+    stand from ``b`` in ``doc``; begin and end by words of ``doc``. None if there is none.
+
+    Both are word ids. Each stretch holds intact words for an n-gram in one place, so one that is tried
+    at every run of n-grams is found. It may leave a run early where a word comes twice; that only
+    decides if it is short of a stretch otherwise, so then each n-gram of the run is tried.
+    """
+    if not np.array_equal(item[a : a + n], doc[b : b + n]):
+        return None
+    best, near = _around(item, doc, a, b, n)
+    if best or not near:
+        return best
+    tried = (_around(item, doc, a + k, b + k, GRAM)[0] for k in range(n - GRAM + 1))
+    return max((x for x in tried if x), default=None)
+
+
+def _runs(at: np.ndarray, places: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place in the item, place in the document, words) of each run of n-grams of one item and one document, by diagonals."""
+    order = np.lexsort((at, at - places))
+    at, places = at[order], places[order]
+    opens = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(places) != 1)]))
+    n = np.diff(np.append(opens, len(at))) + GRAM - 1
+    return list(zip(places[opens].tolist(), at[opens].tolist(), n.tolist()))
 
 
 def _scanner(table):
@@ -117,25 +165,29 @@ def _scanner(table):
                 if text:
                     flat += [get(w, 0) for w in words(text)]
                 flat.append(0)
-            at, items, places = t.seeds(np.asarray(flat, np.uint64))
+            ids = np.asarray(flat, np.int64)
+            at, items, places = t.seeds(ids.astype(np.uint64))
             if len(at):
                 owner = np.searchsorted(begins, at, "right") - 1
-                pair, first, n = np.unique(np.stack([owner, items]), axis=1, return_index=True, return_counts=True)
-                for (d, item), n_seeds in zip(pair.T.tolist(), n.tolist()):
-                    if n_seeds < SEEDS:
+                order = np.lexsort((items, owner))
+                at, items, places, owner = at[order], items[order], places[order], owner[order]
+                bounds = np.append(np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(items) != 0)])), len(at)).tolist()
+                for lo, hi in zip(bounds, bounds[1:]):
+                    if hi - lo < SEEDS:
                         continue
-                    mine = (owner == d) & (items == item)
-                    spots = sorted(zip((at[mine] - begins[d] - places[mine]).tolist(), (at[mine] - begins[d]).tolist()))
-                    ws, target = words(texts[d]), t.items[item]
+                    d, item = int(owner[lo]), int(items[lo])
+                    target, ws = t.items[item], ids[begins[d] : [*begins[d + 1 : d + 2], len(ids)][0] - 1]
                     slack = len(target) // ONE_IN + 2
-                    group: list[int] = []
-                    for k, (diagonal, _) in enumerate(spots):  # copies in one document lie on diagonals far apart
-                        group.append(diagonal)
-                        if k + 1 == len(spots) or spots[k + 1][0] - diagonal > slack:
-                            lo, hi = max(0, group[0] - slack), group[-1] + len(target) + slack
-                            if len(group) >= SEEDS and (found := longest(target, ws[lo:hi])):
-                                span = _spans(texts[d])
-                                for column, v in zip(out, (item, docs[d], span[lo + found[1]][0] + 1, span[lo + found[2] - 1][1], found[0])):
+                    runs = _runs(at[lo:hi] - begins[d], places[lo:hi])
+                    span = None
+                    group: list[tuple[int, int, int]] = []
+                    for k, run in enumerate(runs):  # copies in one document lie on diagonals far apart
+                        group.append(run)
+                        if k + 1 == len(runs) or (runs[k + 1][1] - runs[k + 1][0]) - (run[1] - run[0]) > slack:
+                            found = max((x for r in group if (x := longest(target, ws, *r))), default=None)
+                            if found:
+                                span = span or _spans(texts[d])
+                                for column, v in zip(out, (item, docs[d], span[found[1]][0] + 1, span[found[2] - 1][1], found[0])):
                                     column.append(v)
                             group = []
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["item_id", "doc_id", "start_pos", "end_pos", "n_words"])
