@@ -119,7 +119,31 @@ def test_against_all_alignments():
         x, y = np.asarray(item), np.asarray(doc)
         grams = [(i, j) for i in range(len(item) - 5) for j in range(len(doc) - 5) if item[i : i + 6] == doc[j : j + 6]]
         runs = leakage._runs(np.asarray([j for _, j in grams]), np.asarray([i for i, _ in grams])) if grams else []
-        found = any(leakage.longest(x, y, *r) for r in runs)
+        found = any(leakage.stretches(x, y, *r) for r in runs)
         assert found == all_alignments(item, doc), (item, doc)
         seen.append(found)
     assert 60 < sum(seen) < 280
+
+
+def test_each_stretch_of_an_item(spark):
+    name = lambda p, k: p + "".join(chr(97 + k // d % 26) for d in (676, 26, 1))
+    short, long, own = ([name(p, k) for k in range(n)] for p, n in (("s", 104), ("l", 400), ("o", 30)))
+    dense = [w if k % 9 or not k else "other" for k, w in enumerate(short)]  # one word in nine changed: no single stretch
+    docs = {
+        1: [*short[:30], *own, *short[60:90]],
+        2: [*own, *long[100:125], *own[:27], *long[140:165]],
+        3: [*short[60:90], *own[:9], *short[:30], *own[:3], *short[40:70], *short],
+        4: [*own, *dense, *own],
+    }
+    texts = {d: " ".join(ws) for d, ws in docs.items()}
+    docs_df = spark.createDataFrame([(d, t, 7, "x") for d, t in texts.items()], DOCS)
+    items_df = spark.createDataFrame([(1, " ".join(short), 1), (2, " ".join(long), 1)], ITEMS)
+    got = {}
+    for r in leakage.leaks(docs_df, items_df).collect():
+        got.setdefault(r.doc_id, []).append(texts[r.doc_id][r.start_pos - 1 : r.end_pos].split())
+    assert sorted(got[1]) == [short[:30], short[60:90]]
+    assert sorted(got[2]) == [long[100:125], long[140:165]]
+    assert sorted(map(len, got[3])) == [30, 30, 30, 104]
+    left = {r.doc_id: r.text.split() for r in leakage.cleaned(docs_df, items_df).collect()}
+    assert left[1] == own and left[2] == [*own, *own[:27]]
+    assert [w for w in left[3] + left[4] if w not in own] == []

@@ -112,34 +112,36 @@ def _reach(item: np.ndarray, doc: np.ndarray, most: int) -> dict[int, tuple[int,
     return far
 
 
-def _around(item: np.ndarray, doc: np.ndarray, a: int, b: int, n: int) -> tuple[tuple[int, int, int] | None, bool]:
-    """The longest stretch around the ``n`` words from ``a`` of the item that stand from ``b`` in ``doc``, and whether any nearly is one."""
+def _around(item: np.ndarray, doc: np.ndarray, a: int, b: int, n: int) -> tuple[set[tuple[int, int, int]], bool]:
+    """The longest stretch around the ``n`` words from ``a`` of the item that stand from ``b`` in ``doc`` and those
+    that reach farthest to either side, and whether any nearly is one."""
     most = len(item) // ONE_IN
     left = [(e, *x) for e, x in _reach(item[:a][::-1], doc[max(0, b - a - most) : b][::-1], most).items()]
     right = [(e, *x) for e, x in _reach(item[a + n :], doc[b + n : b + n + len(item) + most], most).items()]
     (e1, i1, j1), (e2, i2, j2) = np.array(left).T, np.array(right).T
     size, errors = i1[:, None] + n + i2, e1[:, None] + e2
     fits = np.where((size >= STRETCH) & (errors * ONE_IN <= size), size, 0)
-    k, m = np.unravel_index(fits.argmax(), fits.shape)
     near = bool(((size >= STRETCH - STRETCH // ONE_IN) & (errors <= STRETCH // ONE_IN)).any())
-    return ((int(fits[k, m]), b - int(j1[k]), b + n + int(j2[m])) if fits[k, m] else None), near
+    if not fits.any():
+        return set(), near
+    best = [np.unravel_index(np.where(fits, x, -1).argmax(), fits.shape) for x in (size, i1[:, None] * (len(item) + 1) + i2, i2 * (len(item) + 1) + i1[:, None])]
+    return {(int(size[k, m]), b - int(j1[k]), b + n + int(j2[m])) for k, m in best}, near
 
 
-def longest(item: np.ndarray, doc: np.ndarray, a: int, b: int, n: int) -> tuple[int, int, int] | None:
-    """(words, begin, end) of the longest stretch of the item that goes through its ``n`` words from ``a``, which
-    stand from ``b`` in ``doc``; begin and end by words of ``doc``. None if there is none.
+def stretches(item: np.ndarray, doc: np.ndarray, a: int, b: int, n: int) -> set[tuple[int, int, int]]:
+    """(words, begin, end) of stretches of the item that go through its ``n`` words from ``a``, which stand from
+    ``b`` in ``doc``: the longest and those that reach farthest to either side; begin and end by words of ``doc``.
 
     Both are word ids. Each stretch holds intact words for an n-gram in one place, so one that is tried
     at every run of n-grams is found. It may leave a run early where a word comes twice; that only
     decides if it is short of a stretch otherwise, so then each n-gram of the run is tried.
     """
     if not np.array_equal(item[a : a + n], doc[b : b + n]):
-        return None
-    best, near = _around(item, doc, a, b, n)
-    if best or not near:
-        return best
-    tried = (_around(item, doc, a + k, b + k, GRAM)[0] for k in range(n - GRAM + 1))
-    return max((x for x in tried if x), default=None)
+        return set()
+    found, near = _around(item, doc, a, b, n)
+    if found or not near:
+        return found
+    return set().union(*(_around(item, doc, a + k, b + k, GRAM)[0] for k in range(n - GRAM + 1)))
 
 
 def _runs(at: np.ndarray, places: np.ndarray) -> list[tuple[int, int, int]]:
@@ -177,19 +179,15 @@ def _scanner(table):
                         continue
                     d, item = int(owner[lo]), int(items[lo])
                     target, ws = t.items[item], ids[begins[d] : [*begins[d + 1 : d + 2], len(ids)][0] - 1]
-                    slack = len(target) // ONE_IN + 2
-                    runs = _runs(at[lo:hi] - begins[d], places[lo:hi])
                     span = None
-                    group: list[tuple[int, int, int]] = []
-                    for k, run in enumerate(runs):  # copies in one document lie on diagonals far apart
-                        group.append(run)
-                        if k + 1 == len(runs) or (runs[k + 1][1] - runs[k + 1][0]) - (run[1] - run[0]) > slack:
-                            found = max((x for r in group if (x := longest(target, ws, *r))), default=None)
-                            if found:
-                                span = span or _spans(texts[d])
-                                for column, v in zip(out, (item, docs[d], span[found[1]][0] + 1, span[found[2] - 1][1], found[0])):
-                                    column.append(v)
-                            group = []
+                    covered = bytearray(len(ws))
+                    runs = _runs(at[lo:hi] - begins[d], places[lo:hi])
+                    for n, begin, end in sorted(set().union(*(stretches(target, ws, *run) for run in runs)), key=lambda x: (-x[0], x[1:])):
+                        if covered.find(0, begin, end) >= 0:
+                            span = span or _spans(texts[d])
+                            for column, v in zip(out, (item, docs[d], span[begin][0] + 1, span[end - 1][1], n)):
+                                column.append(v)
+                            covered[begin:end] = b"\1" * (end - begin)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["item_id", "doc_id", "start_pos", "end_pos", "n_words"])
 
     return run
@@ -199,7 +197,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "t
     """(item_id, doc_id, start_pos, end_pos, n_words): each stretch of an item's passage in a document.
 
     A stretch has at least 20 consecutive words of the passage with at most one word in ten changed,
-    missing or put in between. Positions count from 1 in code points, the end is included. Null and
+    missing or put in between. Longer ones come first, and one gives a row if it has words that none
+    before it has; so rows of a passage may overlap where errors are too many for one stretch and few
+    enough for each of two. Positions count from 1 in code points, the end is included. Null and
     empty texts, and passages shorter than a stretch, match nothing; repeated rows repeat their
     stretches; an empty table gives no rows. Items with a null id are left out.
     """
