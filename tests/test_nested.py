@@ -68,3 +68,12 @@ def test_against_walk(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], DDL)
     assert nested.paths(none, "payload_id").count() == nested.nodes(none, "payload_id").count() == nested.recordings(none, "payload_id").count() == 0
+
+
+def test_one_recording_as_the_body(spark):
+    log = {"id": "r", "contents": [{"content": "a", "children": [None, {"content": "b"}]}]}
+    bodies = [log, {"lifelog": log}, {"lifelog": [log]}, {"lifelogs": [log]}, {"contents": log["contents"]}, {"id": "r", "contents": json.dumps(log["contents"])}, {"error": {"message": "no"}}, {}]
+    df = spark.createDataFrame([(k, json.dumps(b), "p", 1, "v") for k, b in enumerate(bodies)], DDL)
+    got = {tuple(r) for r in nested.paths(df, "payload_id").collect()}
+    assert got == {(k, None if k == 4 else "r", path, parent) for k in range(6) for path, parent in (("0", ""), ("0.1", "0"))}
+    assert {(r.payload_id, r.lifelog_id, r.n_nodes) for r in nested.recordings(df, "payload_id").collect()} == {(k, None if k == 4 else "r", 2) for k in range(6)}

@@ -52,14 +52,15 @@ def _all_nodes(contents: str, bound: str) -> str:
 def parsed(df: DataFrame, body: str = "body") -> DataFrame:
     """``df`` with ``_recordings``, the recordings of each body with their nodes; null or empty without any.
 
-    Read are bodies of valid JSON, as a list of recordings or an object with ``data`` that is such a
-    list, one recording, or an object with ``lifelogs`` or ``lifelog``. Null, empty, cut off or other
+    Read are bodies of valid JSON, as a list of recordings, one recording, an object with ``lifelogs``
+    or ``lifelog``, or an object with ``data`` that is any of these. Null, empty, cut off or other
     bodies give no rows.
     """
     get = lambda path: f"try_variant_get(_v, '{path}', 'variant')"
     lone = f"case when {_is_object(get('$.data'))} and try_variant_get(_v, '$.data.id', 'variant') is null and try_variant_get(_v, '$.data.contents', 'variant') is null then null else {_as_list(get('$.data'), 'c')} end"
     whole = "try_variant_get(_v, '$', 'array<variant>')"
-    records = f"coalesce({_as_list(get('$.data.lifelogs'), 'a')}, {_as_list(get('$.data.lifelog'), 'b')}, {lone}, {_as_list(get('$.lifelogs'), 'g')}, {whole})"
+    itself = f"if({_is_object('_v')} and coalesce(try_variant_get(_v, '$.id', 'variant'), try_variant_get(_v, '$.contents', 'variant')) is not null, array(_v), null)"
+    records = f"coalesce({_as_list(get('$.data.lifelogs'), 'a')}, {_as_list(get('$.data.lifelog'), 'b')}, {lone}, {_as_list(get('$.lifelogs'), 'g')}, {_as_list(get('$.lifelog'), 'h')}, {whole}, {itself})"
     bound = F.size(F.split(F.col(body), "children", -1)).cast("int")
     # No filter on what is parsed, and inline_outer with the test behind it: Spark pushes a filter below the
     # projection, also the one it infers for a plain inline, and would parse again for each mention.
