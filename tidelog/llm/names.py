@@ -2,13 +2,20 @@
 
 A noisy channel: spellings that are frequent are candidate canonical forms; each other form goes to
 the candidate with the greatest product of its frequency and the likelihood that typing it gives the
-form by a typo, a nickname, initials, a reordering, a user name or a dropped part. Candidates are
-found by equi-joins on deletion keys, never by comparing all names: two words within one edit share
-the word itself or one of its forms with a letter left out. A form is attached only to one that is
-more frequent, so attachments form trees, and pointer doubling finds every form's root.
+form by typos, a nickname, initials, a reordering, a user name or a dropped middle name. The form
+itself is a hypothesis, too: that it is a name of its own. It wins over a typo if its words are used in
+other names, or if it is used too often for a typo, as with two people of whom one is called John and
+the other Joan; so no chain leads over two frequent names. How often typos and abbreviations occur,
+and what share of a name's uses a typo has, is estimated from the counts.
+
+Candidates are found by equi-joins on deletion keys, never by comparing all names: two words within
+one edit share the word itself or one of its forms with a letter left out. A form is attached only to
+one that is more frequent or has a middle name that it lacks, so attachments form trees, and pointer
+doubling finds every form's root.
 
 Only distinct spellings and their counts are joined; the counts are combined before the shuffle, so a
-label that holds a third of all rows is one row.
+label that holds a third of all rows is one row. What is known of words and word pairs stays in tables;
+only ten sums come to the driver.
 """
 
 from __future__ import annotations
@@ -17,18 +24,23 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.turns import NOBODY, OWN
 from tidelog.sources import cut
 
-#: Letters up to which typos are looked for in a word, or in an organisation's words together.
+#: Letters from which a word's halves are keys in place of its forms with a letter left out; one edit leaves one half as it is.
 LONGEST = 100
-#: Log-likelihoods of the channel's ways to write a name.
-TYPO, NICKNAME, INITIAL, USER_NAME = -4.0, -2.3, -2.5, -4.0
+#: Log-likelihoods of the channel's ways to write a name before any is counted.
+WAYS = {"typo": -4.0, "nickname": -2.3, "initial": -2.5, "user name": -4.0, "dropped": -2.0}
+#: What is supposed before any typo is counted: so many typos, of which each has one in ``RARE`` of its name's uses, one typed form in ten names.
+SUPPOSED, RARE, TYPED = 40.0, 40.0, 0.1
+#: Ways to mistype a letter (others in its place or before it, none, swapped); letters of which a word that is no known name is made, and how many such words are names.
+MISTYPED, LETTERS, UNKNOWN = 54, 26, 1e6
 #: Forms of address, roles after a name, legal forms and what else follows an organisation's name.
 TITLES = {"dr", "mr", "mrs", "ms", "miss", "prof", "professor", "sir", "madam", "rev", "hon"}
 ROLES = {"host", "guest", "moderator", "speaker", "interpreter", "caller", "agent"}
@@ -59,13 +71,29 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def _person(words: list[str], plain: str) -> str | None:
+    """The form of a person's words, in the order given names, surname; ``plain`` tells words written together apart."""
+    long = [w for w in words if len(w) > 1]
+    if len(long) >= 2:
+        return "p|" + "|".join([*sorted((long[0], long[-1])), *([" ".join(long[1:-1])] if long[2:] else [])])
+    if len(long) == 1:
+        if initials := [w for w in words if len(w) == 1]:
+            return f"i|{initials[0]}|{long[0]}"
+        parts = [p for p in _CAMEL.split(_NOTE.sub(" ", plain).strip()) if len(p) > 1]
+        if len(parts) == 2:
+            return "p|" + "|".join(sorted(p.casefold() for p in parts))
+        return "j|" + long[0]
+    return None
+
+
 def form_of(name: str) -> str | None:
-    """The form behind a spelling: 'p|word|word' of a person, 'i|letter|word' with an initial,
-    'j|letters' written together, 'o|words' of an organisation; None for labels that name nobody.
+    """The form behind a spelling: 'p|word|word' of a person, with '|middle names' if they are written out,
+    'i|letter|word' with an initial, 'j|letters' written together, 'o|words' of an organisation; None for
+    labels that name nobody.
 
     Case, accents, blanks, punctuation, order, titles, roles, middle initials and legal forms fall away.
     """
-    plain = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c)).strip(" \t\r\n :>-")
+    plain = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c)).strip(" \t\r\n :>-")
     low = re.sub(r"\s+", " ", plain.casefold())
     if low in OWN or low in NOBODY or _GENERIC.fullmatch(low):
         return None
@@ -81,22 +109,20 @@ def form_of(name: str) -> str | None:
             stem.pop()
         stem = stem[1:] if stem[:1] == ["the"] and len(stem) > 1 else stem
         return "o|" + " ".join(stem) if stem else None
-    long = [w for w in words if len(w) > 1]
-    if len(long) >= 2:
-        return "p|" + "|".join(sorted((long[0], long[-1])))
-    if len(long) == 1:
-        if initials := [w for w in words if len(w) == 1]:
-            return f"i|{initials[0]}|{long[0]}"
-        parts = [p for p in _CAMEL.split(_NOTE.sub(" ", plain).strip()) if len(p) > 1]
-        if len(parts) == 2:
-            return "p|" + "|".join(sorted(p.casefold() for p in parts))
-        return "j|" + long[0]
-    return None
+    surname, comma, given = bare.partition(",")
+    if comma:
+        words = [w for part in (given, surname) for w in _WORD.findall(part) if w not in TITLES]
+    return _person(words, plain)
 
 
 def _less(w: str) -> set[str]:
-    """A word and its forms with one letter left out; what is longer than any name's word counts only as it stands."""
-    return {w} | {w[:k] + w[k + 1 :] for k in range(len(w) if len(w) <= LONGEST else 0)}
+    """Keys of which words within one edit share one: the word and its forms with one letter left out, or, of a long word, its halves."""
+    keys = {w}
+    if len(w) <= LONGEST + 1:
+        keys |= {w[:k] + w[k + 1 :] for k in range(len(w))}
+    if len(w) >= LONGEST:
+        keys |= {"<" + w[: LONGEST // 2], ">" + w[-(LONGEST // 2) :]}
+    return keys
 
 
 def keys_of(form: str) -> tuple[set[str], set[str]]:
@@ -109,10 +135,11 @@ def keys_of(form: str) -> tuple[set[str], set[str]]:
         return set(), {f"i|{parts[0]}|{d}" for d in _less(parts[1])}
     if kind == "j":
         return set(), {"j|" + d for d in _less(parts[0])}
-    a, b = parts
-    own = {f"p|{x}|{d}" for x, y in ((a, b), (b, a)) for d in _less(y)}
+    a, b = parts[:2]
+    pair = lambda x, y: "p|" + "|".join(sorted((x, y)))
+    own = {pair(x, y) for x in _less(a) for y in _less(b)}
     candidate = own | {f"i|{x[0]}|{d}" for x, y in ((a, b), (b, a)) for d in _less(y)} | {"j|" + d for s in (a + b, b + a, a[0] + b, b[0] + a) for d in _less(s)}
-    variant = own | {f"p|{f}|{d}" for x, y in ((a, b), (b, a)) for f in FORMAL.get(x, ()) for d in _less(y)}
+    variant = own | {pair(f, d) for x, y in ((a, b), (b, a)) for f in FORMAL.get(x, ()) for d in _less(y)}
     return candidate, variant
 
 
@@ -130,23 +157,50 @@ def edits(a: str, b: str) -> int:
     return 2
 
 
-def likelihood(variant: str, candidate: str) -> float | None:
-    """Log-likelihood that ``candidate``, meant, gives ``variant``, typed; None if it hardly can."""
+class Way(NamedTuple):
+    """How a candidate gives a variant: the way, the words mistyped and what was typed, and the word that stayed."""
+
+    way: str
+    old: tuple[str, ...] = ()
+    new: tuple[str, ...] = ()
+    stays: str = ""
+
+    @property
+    def likelihood(self) -> float:
+        return WAYS.get(self.way, 0.0) + WAYS["typo"] * (len(self.old) - (self.way == "typo"))
+
+
+def _typed(words: list[tuple[str, str]], most: int, way: str = "typo", stays: str = "") -> Way | None:
+    """The way by at most one edit in each of ``most`` of the (meant, typed) words; None if that is not enough."""
+    n = [edits(x, y) for x, y in words]
+    if max(n) > 1 or sum(n) > most:
+        return None
+    wrong, right = [p for p, e in zip(words, n) if e], [x for (x, _), e in zip(words, n) if not e]
+    return Way(way, tuple(x for x, _ in wrong), tuple(y for _, y in wrong), stays or (right[0] if right else ""))
+
+
+def way_of(variant: str, candidate: str) -> Way | None:
+    """The likeliest way from ``candidate``, meant, to ``variant``, typed; None if it hardly gives it."""
     kind, *v = variant.split("|")
     other, *c = candidate.split("|")
-    typo = lambda n: None if n > 1 else n * TYPO
     if kind == "o" or other == "o":
-        return typo(edits(v[0].replace(" ", ""), c[0].replace(" ", ""))) if kind == other else None
-    orders = (c, c[::-1])
+        return _typed([(c[0].replace(" ", ""), v[0].replace(" ", ""))], 1) if kind == other else None
+    if other != "p":  # written together or with an initial: no whole name
+        return None
+    orders = ((c[0], c[1]), (c[1], c[0]))
     if kind == "p":
-        ways = [typo(edits(v[0], x) + edits(v[1], y)) for x, y in orders]
-        for n, keep in (v, v[::-1]):
-            ways += [None if (t := typo(edits(keep, y))) is None else NICKNAME + t for x, y in orders if x in FORMAL.get(n, ())]
+        middle, meant = "".join(v[2:]), "".join(c[2:])
+        if middle and middle != meant:  # other middle names are other people, unless all else is equal
+            return _typed([(meant, middle)], 1, stays=c[0]) if meant and v[:2] == c[:2] else None
+        dropped = "dropped" if meant and not middle else "typo"
+        ways = [_typed([(x, v[0]), (y, v[1])], 2 if dropped == "typo" else 1, dropped) for x, y in orders]
+        if dropped == "typo":
+            ways += [_typed([(y, keep)], 1, "nickname", x) for n, keep in (v[:2], v[1::-1]) for x, y in orders if x in FORMAL.get(n, ())]
     elif kind == "i":
-        ways = [None if x[0] != v[0] or (t := typo(edits(v[1], y))) is None else INITIAL + t for x, y in orders]
+        ways = [_typed([(y, v[1])], 1, "initial") for x, y in orders if x[0] == v[0]]
     else:
-        ways = [None if (t := typo(edits(v[0], s))) is None else USER_NAME + t for x, y in orders for s in (x + y, x[0] + y)]
-    return max((w for w in ways if w is not None), default=None)
+        ways = [_typed([(s, v[0])], 1, "user name") for x, y in orders for s in (x + y, x[0] + y)]
+    return max((w for w in ways if w), key=lambda w: (w.likelihood, w), default=None)
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +218,77 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int64(), pa.bool_(), pa.string()))], names=["form", "n", "candidate", "key"])
 
 
+_SCORED = pa.schema([("form", pa.string()), ("parent", pa.string()), ("n", pa.int64()), ("parent_n", pa.int64()), ("way", pa.string()), ("typos", pa.int32()), ("places", pa.float64()), ("unknown", pa.float64()), ("unknown_old", pa.float64()), ("old", pa.string()), ("new", pa.string()), ("stays", pa.string()), ("first_guess", pa.float64())])
+_SCORED_DDL = "form string, parent string, n bigint, parent_n bigint, way string, typos int, places double, unknown double, unknown_old double, old string, new string, stays string, first_guess double"
+
+
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[list] = [[], [], []]
-        for v, c, n in zip(*(x.to_pylist() for x in batch.columns)):
-            if (way := likelihood(v, c)) is not None:
-                for column, value in zip(rows, (v, c, math.log(n) + way)):
+        rows: list[list] = [[] for _ in _SCORED]
+        for v, c, n, m in zip(*(x.to_pylist() for x in batch.columns)):
+            if way := way_of(v, c):
+                places = sum(math.log(MISTYPED * len(w)) for w in way.old)
+                most = math.inf if v[0] == "o" else math.log(UNKNOWN)  # of an organisation all words are one
+                unknown, unknown_old = (-sum(min(len(w) * math.log(LETTERS), most) for w in ws) for ws in (way.new, way.old))
+                one = len(way.old) == 1 and way.way == "typo" and v[0] == "p"
+                for column, value in zip(rows, (v, c, n, m, way.way, len(way.old), places, unknown, unknown_old, way.old[0] if one else None, way.new[0] if one else None, way.stays if one else None, math.log(m) + way.likelihood)):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.string(), pa.float64()))], names=["form", "parent", "posterior"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _SCORED)], schema=_SCORED)
+
+
+def _root(word: Column) -> Column:
+    """A word, or the formal name of a short form, so that nicknames of one name don't count as different company."""
+    formal = F.create_map(*[F.lit(x) for short, names in FORMAL.items() for x in (short, names[0])])
+    return F.coalesce(F.element_at(formal, word), word)
+
+
+def _attached(counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(form, parent) of the forms that come from another: the greatest posterior among the candidates that beat the form itself.
+
+    Against a typo stands a name of its own: as many names as have the unchanged word, times the chance
+    that one has the typed word: by the names that have it in other company than the word it would be
+    a typo of, or letter by letter if there are none. The more frequent of the two may be the typo, so
+    either may have been meant.
+    """
+    word = F.explode(F.expr("array(struct(w[1] as word, w[2] as beside), struct(w[2] as word, w[1] as beside))")).alias("x")
+    words = counts.where("left(form, 2) = 'p|'").select(F.split("form", r"\|").alias("w")).select(word).select("x.word", "x.beside")
+    known = words.groupBy("word").agg(F.count_distinct(_root(F.col("beside"))).alias("company"), F.count(F.lit(1)).alias("names"))
+    two = [F.least("old", "new").alias("one"), F.greatest("old", "new").alias("other")]
+    shared = pairs.where("old is not null").groupBy(*two).agg(F.count_distinct(_root(F.col("stays"))).alias("shared"))
+    beside = lambda word: F.greatest(F.coalesce(F.col(f"{word}_company") - F.col("shared"), F.lit(0)), F.lit(0)).alias(f"{word}_support")
+    judged = (
+        pairs.withColumns({"one": two[0], "other": two[1]})
+        .join(shared, ["one", "other"], "left")
+        .join(known.select(F.col("word").alias("new"), F.col("company").alias("new_company")), "new", "left")
+        .join(known.select(F.col("word").alias("old"), F.col("company").alias("old_company")), "old", "left")
+        .join(known.select(F.col("word").alias("stays"), "names"), "stays", "left")
+        .select("form", "parent", "n", "parent_n", "way", "typos", "places", "unknown", "unknown_old", "names", "first_guess", beside("new"), beside("old"))
+    )
+    judged = cut(judged)
+    # Estimates from each form's best candidate; words that are names elsewhere, too, prove nothing about typos.
+    best = judged.groupBy("form").agg(F.max_by(F.struct("way", "typos", "new_support", "n", "parent_n"), F.struct("first_guess", "parent")).alias("b")).select("b.*")
+    typo = (F.col("way") == "typo") & (F.col("typos") == 1) & (F.col("new_support") == 0)
+    sums = best.agg(
+        *[F.count_if(F.col("way") == w).alias(w) for w in WAYS if w != "typo"], F.count_if(typo).alias("typo"),
+        F.coalesce(F.sum(F.when(typo, -F.log(F.col("parent_n") / (F.col("n") + F.col("parent_n"))))), F.lit(0.0)).alias("shares"),
+    ).first()
+    forms = counts.agg(F.count(F.lit(1)).alias("forms"), F.max("n").alias("most")).first()
+    total = max(forms["forms"], 1)
+    rarity = (sums["typo"] + SUPPOSED) / (sums["shares"] + SUPPOSED / RARE)  # the shares of typos are Beta(1, rarity)
+    rate = {w: math.log((sums[w] + SUPPOSED * (TYPED if w == "typo" else math.exp(WAYS[w]))) / (total + SUPPOSED)) for w in WAYS}
+    share = F.col("n") / (F.col("n") + F.col("parent_n"))
+
+    def typed(share: Column, support: str, unknown: str) -> Column:
+        """Log-odds that the form with this share of both's uses is a typo, and no name of its own."""
+        counted = math.log(rarity) + (rarity - 1) * F.log(1 - share) + F.log(share) + math.log(1 + math.log(forms["most"] or 1))
+        elsewhere = F.when(F.col(support) > 0, F.log(F.col(support) / F.lit(total))).otherwise(F.col(unknown))
+        return rate["typo"] * F.col("typos") - F.col("places") + counted - F.coalesce(F.log("names"), F.lit(math.log(total))) - elsewhere
+
+    one = F.greatest(typed(share, "new_support", "unknown"), typed(1 - share, "old_support", "unknown_old"))
+    way = F.create_map(*[F.lit(x) for w in WAYS if w != "typo" for x in (w, rate[w])])
+    posterior = F.log("parent_n") + F.when(F.col("way") == "typo", WAYS["typo"] * F.col("typos")).otherwise(F.element_at(way, F.col("way")) + WAYS["typo"] * F.col("typos"))
+    kept = judged.where((F.col("way") != "typo") | (one > 0)).withColumn("posterior", posterior)
+    return kept.groupBy("form").agg(F.max_by("parent", F.struct("posterior", "parent")).alias("parent"))
 
 
 def linked(names: DataFrame, name: str = "speaker_name") -> DataFrame:
@@ -182,13 +299,14 @@ def linked(names: DataFrame, name: str = "speaker_name") -> DataFrame:
     """
     spelled = names.select(F.col(name).alias("name")).where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     forms = cut(spelled.mapInArrow(_forms, "name string, n bigint, form string").where("form is not null"))
-    counts = forms.groupBy("form").agg(F.sum("n").alias("n"))
+    counts = cut(forms.groupBy("form").agg(F.sum("n").alias("n")))
     keyed = counts.mapInArrow(_keyed, "form string, n bigint, candidate boolean, key string")
     v, c = keyed.where("not candidate").alias("v"), keyed.where("candidate").alias("c")
-    # Only to a form of more uses, or of as many and sorting first; forms that are no whole names go to any.
-    ahead = F.expr("v.form <> c.form and (left(v.form, 2) in ('i|', 'j|') or c.n > v.n or c.n = v.n and c.form < v.form)")
-    pairs = v.join(c, F.col("v.key") == F.col("c.key")).where(ahead).select(F.col("v.form").alias("form"), F.col("c.form").alias("parent"), F.col("c.n").alias("n")).distinct()
-    best = pairs.mapInArrow(_scored, "form string, parent string, posterior double").groupBy("form").agg(F.max_by("parent", F.struct("posterior", "parent")).alias("parent"))
+    # Only to a form of more uses, or of as many and sorting first; forms that are no whole names, or lack a middle name, go to any.
+    parts = lambda x: F.size(F.split(F.col(f"{x}.form"), r"\|"))
+    ahead = (F.col("v.form") != F.col("c.form")) & (F.expr("left(v.form, 2) in ('i|', 'j|')") | (parts("v") < parts("c")) | ((parts("v") == parts("c")) & F.expr("c.n > v.n or c.n = v.n and c.form < v.form")))
+    pairs = v.join(c, F.col("v.key") == F.col("c.key")).where(ahead).select(F.col("v.form").alias("form"), F.col("c.form").alias("parent"), F.col("v.n").alias("n"), F.col("c.n").alias("parent_n")).distinct()
+    best = _attached(counts, pairs.mapInArrow(_scored, _SCORED_DDL))
     links = cut(counts.select("form").join(best, "form", "left").select("form", F.coalesce("parent", "form").alias("parent")))
     while True:  # pointer doubling: a tree of depth d takes log2(d) rounds
         up = links.select(F.col("form").alias("parent"), F.col("parent").alias("above"))
