@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tidelog.llm import toxicity
@@ -32,7 +33,7 @@ def corpus(spark):
 def test_held_out(corpus):
     docs, reviews, labels = corpus
     models = toxicity.fitted(docs, reviews)
-    scores = toxicity.scored(docs, models, found_at=0.7)
+    scores = toxicity.scored(docs, models)
     found = {r.doc_id for r in toxicity.found(scores).collect()}
     held = {d for d in labels if d >= 300}
     bad = {d for d in held if labels[d]}
@@ -40,7 +41,7 @@ def test_held_out(corpus):
     assert len(found & held - bad) <= 0.05 * len(held - bad)
     by_id = {r.doc_id: r.score for r in scores.collect()}
     assert by_id[900] == by_id[901] == by_id[902] == 0 and len(by_id) == docs.count()
-    rates = {r.source: r for r in toxicity.rates(docs, models, found_at=0.7).collect()}
+    rates = {r.source: r for r in toxicity.rates(docs, models).collect()}
     assert set(rates) == {"chat_log", None} and sum(r.n_docs for r in rates.values()) == 604
     assert all(r.rate == pytest.approx(r.n_found / r.n_docs) for r in rates.values())
 
@@ -53,6 +54,36 @@ def test_no_reviews(spark, corpus):
 
 
 def test_plain_words():
-    for raw, w in {"p.a.t.h.e.t.i.c": "pathetic", "r0773n": "rotten", "f*ol!!": "f?ol", "uselesssss": "useles", "<p>nobody</p>": "nobody", "12:30": "", "h-a-l-f": "half", "don't": "don't", "?": "", "$tupid,": "stupid"}.items():
+    for raw, w in {"p.a.t.h.e.t.i.c": "pathetic", "r0773n": "rotten", "f*ol!!": "f?ol", "f**ls": "f??ls", "d*mb@s$,": "d?mbass", "uselesssss": "useles", "<p>nobody</p>": "nobody", "12:30": "", "h-a-l-f": "half", "don't": "don't", "?": "", "$tupid,": "stupid"}.items():
         assert toxicity.plain_word(raw) == w, raw
     assert "idiot" in toxicity.tokens("you i d i o t now")
+    assert toxicity.tokens("バカ野郎") == ["", "バ", "", "カ", "", "野", "", "郎", ""]
+
+
+def test_hidden_letters():
+    words = toxicity.Words({"fool": 2, "fuel": 3, "full": 4}, {("f", "l", 4): ["fool", "fuel", "full"]})
+    assert [words[w] >> 1 for w in ("f**l", "f*el", "fu*l", "f*l", "f***l", "x*l")] == [2, 3, 3, 1, 1, 1]
+
+
+def test_threshold():
+    t = toxicity.threshold(np.asarray([9.0] * 18 + [8.0, 7.0, 3.0, 1.0, 1.0]), np.asarray([True] * 20 + [False] * 3))
+    assert t == 5.0
+
+
+def test_counts_of_pairs():
+    """At the pair level a word counts by the words before the pair, not by its uses."""
+    m = toxicity.Models(["a san diego. b san diego. c san diego", "a red dot. a red dot. a red dot"], [True, False])
+    ids, _ = m.words.ids(["a san diego. b san diego. c san diego. a red dot. a red dot. a red dot"])
+    (_, _, _, p2, _), _ = m._levels(m._counts(ids))
+    at = lambda v, w: p2[m.pairs.find(np.asarray([m.words.vocabulary[v] * m.size + m.words.vocabulary[w]]))[0]]
+    assert at("san", "diego") > at("red", "dot")
+
+
+def test_sum_of_characters(spark, corpus, monkeypatch):
+    docs, reviews, _ = corpus
+    monkeypatch.setattr(toxicity, "FIT_TOTAL", 4_000)
+    seen = []
+    real = toxicity.Models.__init__
+    monkeypatch.setattr(toxicity.Models, "__init__", lambda self, texts, offends: (seen.append(sum(map(len, texts))), real(self, texts, offends))[1])
+    toxicity.fitted(docs, reviews)
+    assert 3_000 < seen[-1] <= 4_000
