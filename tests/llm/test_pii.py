@@ -1,6 +1,7 @@
 """Items in single texts, decoys, and whole tables against a plain loop."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -27,6 +28,13 @@ CASES = [
     ("So Dr. Hemenagum wants it, signed by V. Ursaloro and mrs pélfemo", [("person_name", "Hemenagum"), ("person_name", "V. Ursaloro"), ("person_name", "pélfemo")]),
     ("ask dmitri hémastulaf about the audit", [("person_name", "dmitri hémastulaf")]),
     ("İİ then Bob Holokar", [("person_name", "Bob Holokar")]),
+    ("account 12345678901, acct no. 20-00-00 55779911", [("account_number", "12345678901"), ("account_number", "20-00-00 55779911")]),
+    ("pay DE89 3704 0044 0532 0130 00 or GB29NWBK60161331926819", [("account_number", "DE89 3704 0044 0532 0130 00"), ("account_number", "GB29NWBK60161331926819")]),
+    ("it was 4111 1111 1111 1111 then", [("account_number", "4111 1111 1111 1111")]),
+    ("tel:5550171 and mailto:rosa.k@a.test", [("email", "rosa.k@a.test"), ("phone", "5550171")]),
+    ("Anneliese Kowalski called, my name is Wanda Orlik", [("person_name", "Anneliese Kowalski"), ("person_name", "Wanda Orlik")]),
+    (f"{'a' * 90}@b.test or {'a' * 90} at {'b' * 90} dot test", [("email", f"{'a' * 90}@b.test"), ("email", f"{'a' * 90} at {'b' * 90} dot test")]),
+    (f"at 12 {'Long' * 30} {'Peartree' * 4} Street; {'Holokar' * 9}, Rosa", [("street_address", f"12 {'Long' * 30} {'Peartree' * 4} Street"), ("person_name", f"{'Holokar' * 9}, Rosa")]),
 ]
 DECOYS = [
     "the note on invoice 2024-0917, lot 77-1204, part no. 55-0188 and tracking code ZX-88-10-42",
@@ -34,13 +42,15 @@ DECOYS = [
     "Speaker 2: met the print shop at Fernby market at 10:30 on the way home, 14 drafts, close to done",
     "Holokar Law Office and Tavorel Robotics; build 4.12.0; 18,000 lines at 7 a.m.. The answer was 2,750",
     "please look at the dot on the map, at noon (at least)",
+    "see https://x.test/?id=12085550175&user=@me and 4111 1111 1111 1112",
+    "Spring Street called, Tavorel Robotics said so and The Holokar Office wrote",
     "",
 ]
 
 
 @pytest.mark.parametrize(("text", "want"), CASES)
 def test_found(text, want):
-    assert [(k, text[a:b]) for a, b, k in FINDER.find(text)] == want
+    assert sorted((text.index(t), k, t) for k, t in want) == sorted((a, k, text[a:b]) for a, b, k in FINDER.find(text))
 
 
 @pytest.mark.parametrize("text", DECOYS)
@@ -55,6 +65,25 @@ def test_redacted():
     assert len(FINDER.find(long)) >= 200 * sum(len(w) for _, w in CASES) * 0.95
 
 
+def test_linear_in_items():
+    def took(n):
+        text = "mail a@b.test or call 704-555-0171, Robert Holokar said. " * n
+        t = time.process_time()
+        pii.redacted(text, FINDER.find(text))
+        return time.process_time() - t
+
+    took(500)
+    assert min(took(8_000) for _ in range(3)) < 4 * min(took(4_000) for _ in range(3))
+
+
+def test_too_many_given_names(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_NAMES", 2)
+    people = spark.createDataFrame([(f"{n} X",) for n in ("Ana", "Bea", "Ana")], "display_name string")
+    assert {"ana", "bea"} <= pii.finder(people).given
+    with pytest.raises(ValueError, match="given names"):
+        pii.finder(people.union(spark.createDataFrame([("Cleo X",)], "display_name string")))
+
+
 DDL = "id string, body string, received_at timestamp_ntz, text string, field int, pii_kind string"
 
 
