@@ -14,9 +14,7 @@ FINDER = pii.Finder(["Robert"])
 @pytest.mark.parametrize("text", TEXTS, ids=[repr(t[:12]) for t in TEXTS])
 def test_in_time(text):
     t = time.process_time()
-    label, _, speech = turns.parse(text)
-    turns.clean(speech)
-    turns._ALL_HESITATION.fullmatch(text)
+    turns.text_of(*turns.parse(text))
     items = FINDER.find(text)
     pii.redacted(text[:1000], [x for x in items if x[1] <= 1000])
     leakage.words(text)

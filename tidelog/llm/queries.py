@@ -97,10 +97,10 @@ spoken as (select *, case when lower(trim(speaker_identifier)) = 'user' or label
     when regexp_full_match(label, '(speaker|spk|s)[\s_#.-]*0*(\d+)') then 'speaker ' || cast(cast(regexp_extract(label, '(\d+)$', 1) as int) as varchar)
     when label is not null and label not in ('', 'unknown', 'noise', 'speaker ?', '?') then label
     when regexp_matches(lower(said), '^\s*(\[\s*(speaker|spk|s)[\s_#.-]*0*(\d+)\s*\]|(speaker|spk|s)[\s_#.-]*0*(\d+)\s*(:|>|\s-\s))\s*') then 'speaker ' || cast(cast(regexp_extract(lower(said), '^[^0-9]*(\d+)', 1) as int) as varchar) end as who
-  from quotes where regexp_matches(regexp_replace(regexp_replace(regexp_replace(lower(said), '^\s*(\[\s*(speaker|spk|s)[\s_#.-]*0*(\d+)\s*\]|(speaker|spk|s)[\s_#.-]*0*(\d+)\s*(:|>|\s-\s))\s*', ''), '(\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>|\((door closes|phone rings|coughs|long pause)\)|\*[^*]{1,40}\*|♪)', ' ', 'g'), '\b(u+h*m+|u+h+|e+r+m*|h+m+|m+h*m+)\b', ' ', 'g'), '[\p{L}\p{N}]')),
+  from quotes where regexp_matches(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(said), '\((REMARKS)\b', 'remark ', 'g'), '^\s*(\[\s*(speaker|spk|s)[\s_#.-]*0*(\d+)\s*\]|(speaker|spk|s)[\s_#.-]*0*(\d+)\s*(:|>|\s-\s))\s*', ''), '(\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>|\(\s*[\p{L}_]+([ -][\p{L}_]+)*\s*\)|\*[^*\n]+\*|♪)', ' ', 'g'), '\b(u+h*m+|u+h+|e+r+m*|h+m+|m+h*m+)\b', ' ', 'g'), '[\p{L}\p{N}]')),
 carried as (select *, last_value(who ignore nulls) over (partition by lifelog_id order by at_ms, node_id rows unbounded preceding) as speaker from spoken),
 marked as (select *, case when row_number() over w = 1 or speaker is distinct from lag(speaker) over w then 1 else 0 end as opens from carried window w as (partition by lifelog_id order by at_ms, node_id)),
 numbered as (select *, sum(opens) over (partition by lifelog_id order by at_ms, node_id rows unbounded preceding) as turn_no from marked)
 select lifelog_id, cast(turn_no as bigint) as turn_no, arg_min(node_id, struct_pack(a := at_ms, b := node_id)) as first_node_id, arg_max(node_id, struct_pack(a := at_ms, b := node_id)) as last_node_id from numbered group by lifelog_id, turn_no
-"""
+""".replace("REMARKS", turns.REMARKS)
 }

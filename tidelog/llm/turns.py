@@ -1,11 +1,20 @@
 """Speech transcripts into ordered turns, each of one clean speaker and clean text.
 
-A parsing-expression grammar reads each utterance: ordered choice, no backtracking into a rule that
-has matched, recursion for nested annotations. The parse gives the speaker named in the text, the
-sounds, and the speech without time stamps and hesitations. Utterances are parsed where they lie, in
-Arrow batches; what follows are Spark windows in two levels, so a recording of any length is never
-in one task: inside (recording, stretch of time) labels are carried forward and changes of speaker
-counted, then one row per stretch passes the last speaker and the number of turns on to the next.
+A parsing-expression grammar reads each utterance into a tree: ordered choice, no way back into a rule
+that has matched, nested annotations from a table of the rule's results at all places::
+
+    utterance  <- (blank / time / label / sound)* speech
+    time       <- '[' clock ']' / '(' clock ')' / '<' clock '>' / clock '-->' / clock with seconds
+    label      <- bracket numbered closing / numbered (':' / '>' / ' - ') / own ':' / name ':'
+    speech     <- (time / sound / hesitation / filler / restart / words)*
+    sound      <- annotation, in round brackets only if it isn't part of a sentence
+    annotation <- bracket (annotation / other)* closing / '*' other '*' / '♪'+
+
+The tree gives the speaker named in the text and whether anything is said, and the clean text is what
+its words leave. Utterances are parsed where they lie, in Arrow batches; what follows are Spark windows
+in two levels, so a recording of any length is never in one task: inside (recording, stretch of time)
+labels are carried forward and changes of speaker counted, then one row per stretch passes the last
+speaker and the number of turns on to the next.
 """
 
 from __future__ import annotations
@@ -13,6 +22,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -29,95 +39,165 @@ WEARER = "wearer"
 OWN = {"you", "me", "i", "myself", "self", "user", "wearer", "owner"}
 NOBODY = {"", "unknown", "noise", "speaker ?", "?", "unknown speaker", "n/a", "none"}
 
-# Terminals. A clock, hesitations, and the letters of a label; the rules below put them together.
+#: Words before a colon that are no name.
+OPENERS = set("note notes question answer reminder update action todo subject re fyi ps quote example warning total result status summary agenda topic today tomorrow yesterday first second third finally also so and but or okay ok right well yes no".split())
+#: Words with which a remark in round brackets is part of the sentence and no sound.
+REMARKS = "the|a|an|this|that|these|those|which|who|whom|whose|and|or|but|if|because|about|around|roughly|i|we|you|he|she|it|they|my|our|your|his|her|their|not|no|yes|is|was|are|were|at|dot"
+
+# Terminals; blanks are single here.
 _CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
-_TIME = re.compile(rf"\s*(?:\[{_CLOCK}\]|\({_CLOCK}\)|<{_CLOCK}>|{_CLOCK}\s*-->|\d{{1,2}}:\d{{2}}:\d{{2}}(?:[.,]\d{{1,3}})?(?=\s|$))\s*")
+_STAMP = rf"(?:\[{_CLOCK}\]|\({_CLOCK}\)|<{_CLOCK}>|{_CLOCK}\s?-->|(?<![\w:.,-])\d{{1,2}}:\d{{2}}:\d{{2}}(?:[.,]\d{{1,3}})?(?=\s|$))"
+_TIME = re.compile(_STAMP)
 _NUMBERED = r"(?:speaker|spk|s)[\s_#.-]*0*(\d+)"
-_LABEL = re.compile(rf"\s*(?:\[\s*{_NUMBERED}\s*\]|{_NUMBERED}\s*(?::|>|\s-(?=\s))|(you|me)\s*:)\s*", re.I)
+_LABEL = re.compile(rf"(?:[\[(<]\s?{_NUMBERED}\s?[\])>]\s?:?|{_NUMBERED}\s?(?::|>|\s-(?=\s))|(you|me)\s?:)", re.I)
+_NAME = r"[^\W\d_]+(?:['’.-][^\W\d_]+)*\.?"
+_NAMED = re.compile(rf"({_NAME}(?: {_NAME}){{0,3}})\s?:(?=\s|$)")
 _LABEL_NAME = re.compile(rf"^{_NUMBERED}$")
 _OPEN = re.compile(r"[\[({<*♪]")
 _BRACKET = re.compile(r"[\[\](){}<>]")
 _CLOSE = {"[": "]", "(": ")", "{": "}", "<": ">"}
-_SOUND = re.compile(r"(?!(?:the|a|an|this|that|which|who|and|or|but)\b)[^\W\d]+(?: [^\W\d]+){0,2}", re.I)
-_STARRED = re.compile(r"\*[^*\n]{1,40}\*")
-_NOTES = re.compile(r"♪(?:\s*♪)*")
-# Possessive, so that no run of letters is split in more than one way.
+_SOUND = re.compile(rf"(?!(?:{REMARKS})\b)[^\W\d]+(?:[ -][^\W\d]+)*", re.I)
+_STARRED = re.compile(r"\*(?=[^\s*])[^*\n]*(?<=[^\s*])\*")
+_NOTES = re.compile(r"♪(?:\s?♪)*")
+# Possessive, so that no run of letters or signs is split in more than one way.
 _HESITATION = r"(?:u++h*+m++|u++h++|e++r++m*+|h++m++|m++h++m++|mm++)"
-_LOOSE = re.compile(rf"(?:\s*[,—-]+)?\s*\b{_HESITATION}\b(?:\s*(?:\.{{3}}|…|—|,))?", re.I)
-_SET_OFF = re.compile(r"(?:—\s*(?:well|like|you know|i mean|so|okay)\s*—|(?:^|(?<=,)|(?<=\s))\s*(?:well|like|you know|i mean)\s*(?:\.{3}|…)|,\s*(?:well|like|you know|i mean)\s*,|^(?:well|like|you know|i mean)\s*,)", re.I)
-_AGAIN = re.compile(r"\b(\w+)-\s+(?=\1\b)", re.I)
-_ALL_HESITATION = re.compile(rf"(?:\b{_HESITATION}\b|[\W_])*+", re.I)
+_FILLER = r"(?:well|like|you know|i mean)"
+_NEXT = re.compile(
+    rf"(?P<time>{_STAMP})|(?P<hesitation>(?:(?<![,—-])\s?[,—-]++)?\s?\b{_HESITATION}\b(?:\s?(?:\.{{3}}|…|—|,))?)"
+    rf"|(?P<filler>—\s?(?:well|like|you know|i mean|so|okay)\s?—|(?:^|(?<=,)|(?<=\s))\s?{_FILLER}\s?(?:\.{{3}}|…)|,\s?{_FILLER}\s?,)|(?P<restart>\b(\w++)-\s(?=\5\b))",
+    re.I,
+)
+_OPENING = re.compile(rf"\s?{_FILLER}\s?,", re.I)
+_SAID = re.compile(r"[^\W_]")
 _SPACE = re.compile(r"\s+")
-_BLANKS = re.compile(r"\s*")
+_UNEVEN = re.compile(r"\s\s|[^\S ]")
 
 
-def _annotations(s: str) -> dict[int, int]:
-    """Where annotations begin and end: annotation <- bracket (annotation / other)* closing / '*' other '*' / '♪'+.
+class Node(NamedTuple):
+    """A part of an utterance: its rule, where it stands, the parts inside, and what a label names."""
 
-    The rule's results at all places, in one pass: a bracket that is never closed is another character.
-    """
-    ends: dict[int, int] = {m.start(): m.end() for p in (_NOTES, _STARRED) for m in p.finditer(s)}
-    opened: list[int] = []
+    rule: str
+    begin: int
+    end: int
+    inside: tuple = ()
+    names: str | None = None
+
+
+def _annotations(s: str) -> dict[int, Node]:
+    """The annotation rule's results by the place where they begin, in one pass: a bracket that is never closed is another character."""
+    found = {m.start(): Node("annotation", m.start(), m.end()) for p in (_NOTES, _STARRED) for m in p.finditer(s)}
+    opened: list[tuple[int, list[Node]]] = []
     count = dict.fromkeys(_CLOSE.values(), 0)
     for m in _BRACKET.finditer(s):
         c = m.group()
         if c in _CLOSE:
-            opened.append(m.start())
+            opened.append((m.start(), []))
             count[_CLOSE[c]] += 1
         elif count[c]:
+            loose: list[Node] = []
             while True:
-                begin = opened.pop()
+                begin, inside = opened.pop()
                 count[_CLOSE[s[begin]]] -= 1
+                inside += loose
                 if _CLOSE[s[begin]] == c:
-                    ends[begin] = m.end()
+                    found[begin] = Node("annotation", begin, m.end(), tuple(inside))
+                    if opened:
+                        opened[-1][1].append(found[begin])
                     break
-    return ends
+                loose = inside
+    return found
 
 
-def _is_sound(text: str) -> bool:
+def _is_sound(s: str, node: Node) -> bool:
     """Whether an annotation is a sound and not words said in brackets: round brackets hold both."""
-    return text[0] != "(" or "(" in text[1:] or _SOUND.fullmatch(text[1:-1].strip()) is not None
-
-
-def parse(content: str) -> tuple[str | None, list[str], str]:
-    """(label, sounds, speech) of an utterance.
-
-    utterance <- (time / label / annotation)* speech; speech <- (annotation / other)*
-    """
-    label, sounds, at, n = None, [], 0, len(content)
-    ends = _annotations(content) if _OPEN.search(content) else {}
-    while at < n:  # prefix
-        if content[at].isspace():
-            at = _BLANKS.match(content, at).end()
-        elif m := _TIME.match(content, at):
-            at = m.end()
-        elif label is None and (m := _LABEL.match(content, at)):
-            number = m.group(1) or m.group(2)
-            label, at = f"speaker {int(number)}" if number else m.group(3), m.end()
-        elif (end := ends.get(at)) and _is_sound(content[at:end]):
-            sounds.append(content[at:end])
-            at = end
+    if s[node.begin] != "(" or node.inside:
+        return True
+    return not (node.begin and s[node.begin - 1].isalnum()) and _SOUND.fullmatch(s[node.begin + 1 : node.end - 1].strip()) is not None
+
+
+def _label(s: str, at: int) -> Node | None:
+    if m := _LABEL.match(s, at):
+        number = m.group(1) or m.group(2)
+        return Node("label", at, m.end(), names=f"speaker {int(number)}" if number else m.group(3))
+    if (m := _NAMED.match(s, at)) and (words := m.group(1).split()) and words[0].lower().rstrip(".") not in OPENERS and all(w[0].isupper() for w in words):
+        return Node("named", at, m.end(), names=m.group(1))
+    return None
+
+
+def parse(content: str) -> tuple[str, Node]:
+    """The utterance with single blanks, and its tree: an utterance node with all parts in order."""
+    s = _SPACE.sub(" ", content) if _UNEVEN.search(content) else content
+    table = _annotations(s) if _OPEN.search(s) else {}
+    parts: list[Node] = []
+    at, n, labelled = 0, len(s), False
+    while at < n:  # what stands before the speech
+        if s[at] == " ":
+            at += 1
+            continue
+        if m := _TIME.match(s, at):
+            node = Node("time", at, m.end())
+        elif not labelled and (node := _label(s, at)):
+            labelled = True
+        elif (node := table.get(at)) and _is_sound(s, node):
+            node = node._replace(rule="sound")
         else:
             break
-    speech, begin = [], at
-    for k in sorted(ends):
-        if k >= at and _is_sound(content[k : ends[k]]):
-            speech.append(content[at:k])
-            sounds.append(content[k : ends[k]])
-            at = ends[k]
-    return label, sounds, "".join([*speech, content[at:]]) if at > begin else content[begin:]
-
-
-def clean(speech: str) -> str:
-    """The speech without hesitations, set-off filler words, broken-off repetitions and stray blanks; '' if nothing is said."""
-    if _ALL_HESITATION.fullmatch(speech):
+        parts.append(node)
+        at = node.end
+    sounds = [k for k in sorted(table, reverse=True) if k >= at]
+    said = False
+    m = _NEXT.search(s, at)
+    while at < n:
+        if not said and (opening := _OPENING.match(s, at)):
+            parts.append(Node("filler", at, opening.end()))
+            at = opening.end()
+            said = True
+            continue
+        while sounds and (sounds[-1] < at or not _is_sound(s, table[sounds[-1]])):
+            sounds.pop()
+        if m and m.start() < at:
+            m = _NEXT.search(s, at)
+        k = min(m.start() if m else n, sounds[-1] if sounds else n)
+        if k > at:
+            parts.append(Node("words", at, k))
+            said = said or _SAID.search(s, at, k) is not None
+        if k < n:
+            node = Node(m.lastgroup, k, m.end()) if m and k == m.start() else table[k]._replace(rule="sound")
+            if node.rule == "restart":
+                said = True
+            parts.append(node)
+        at = max(k, node.end if k < n else n)
+    return s, Node("utterance", 0, n, tuple(parts))
+
+
+def label_of(tree: Node) -> Node | None:
+    """The label that stands in the utterance."""
+    return next((x for x in tree.inside if x.rule in ("label", "named")), None)
+
+
+def is_said(s: str, tree: Node) -> bool:
+    """Whether the utterance holds speech, and not only hesitations, sounds, times and a label."""
+    return any(x.rule in ("words", "filler", "restart") and _SAID.search(s, x.begin, x.end) for x in tree.inside)
+
+
+def text_of(s: str, tree: Node, kept: Node | None = None) -> str:
+    """The clean text: the words without time stamps, sounds, hesitations, filler words and restarts; '' if nothing is said.
+
+    ``kept`` is a label that names nobody here and so is part of the speech. Filler words alone stay.
+    """
+    if not is_said(s, tree):
         return ""
-    said = _SPACE.sub(" ", _LOOSE.sub(" ", _SPACE.sub(" ", speech)))  # a run of blanks would be tried from each of them
-    said = _AGAIN.sub("", _SET_OFF.sub(" ", said))
-    said = re.sub(r"\s+([,.!?;:])", r"\1", _SPACE.sub(" ", said)).strip(" ,—-")
+    keep = lambda x: x.rule == "words" or x is kept
+    said = "".join(s[x.begin : x.end] if keep(x) else "" if x.rule == "restart" else " " for x in tree.inside)
+    if not _SAID.search(said):
+        said = "".join(s[x.begin : x.end] for x in tree.inside if x.rule == "filler")
+    said = _BEFORE_SIGN.sub(r"\1", _SPACE.sub(" ", said)).strip(" ,—-")
     return said[:1].upper() + said[1:]
 
 
+_BEFORE_SIGN = re.compile(r"\s+([,.!?;:])")
+
+
 def speaker_key(name: str | None) -> str | None:
     """One form for all ways to write a label; None if it names nobody."""
     if name is None:
@@ -146,22 +226,24 @@ def _parser(with_text: bool):
             said, keys, names, texts = [], [], [], []
             for quote, content, name, identifier, wearer in zip(*(batch.column(c).to_pylist() for c in ("quote", "content", "speaker_name", "speaker_identifier", "display_name"))):
                 key = text = None
+                heard = False
                 if quote and content:
-                    label, _, speech = parse(content)
-                    if with_text:
-                        text = clean(speech) or None
-                        heard = text is not None
-                    else:
-                        heard = _ALL_HESITATION.fullmatch(speech) is None
-                    if heard:
-                        if name is not None:
-                            key = key_of(name)
-                        if identifier is not None and identifier.strip().lower() == "user" or key is not None and wearer is not None and key == key_of(wearer):
-                            key = WEARER
-                        if key is None and label is not None:
-                            key = key_of(label)
-                else:
-                    heard = False
+                    s, tree = parse(content)
+                    label = label_of(tree)
+                    if name is not None:
+                        key = key_of(name)
+                    if identifier is not None and identifier.strip().lower() == "user" or key is not None and wearer is not None and key == key_of(wearer):
+                        key = WEARER
+                    named = None
+                    if label is not None:
+                        named = key_of(label.names)
+                        if named is not None and wearer is not None and named == key_of(wearer):
+                            named = WEARER
+                    kept = label if label is not None and label.rule == "named" and key is not None and named != key else None
+                    heard = kept is not None or is_said(s, tree)
+                    key = (named if key is None else key) if heard else None
+                    if with_text and heard:
+                        text = text_of(s, tree, kept) or s[label.begin : label.end]
                 said.append(heard)
                 keys.append(None if key is None else xxhash.xxh3_64_intdigest(key) - 2**63)
                 if with_text:
@@ -194,8 +276,10 @@ def utterances(nodes: DataFrame, wearers: DataFrame, with_text: bool = False) ->
     ddl = "node_id bigint, lifelog_id string, received_at bigint, offset_ms bigint, start_ms bigint, said boolean, key bigint" + (", speaker string, text string" if with_text else "")
     parsed = joined.mapInArrow(_parser(with_text), ddl).withColumn("received_at", F.timestamp_micros("received_at"))
     spoken = latest_delivery(parsed, ["node_id", "lifelog_id"], columns).where("said and lifelog_id is not null")
-    # Offsets are rarely missing: only recordings that lack one give their true start, from their raw rows.
-    start = rows.groupBy("lifelog_id").agg(F.coalesce(F.mode(F.col("start_ms") - F.col("offset_ms"), True), F.min("start_ms")).alias("true_start"), F.count_if(F.col("offset_ms").isNull()).alias("lacking"))
+    # Offsets are rarely missing: only recordings that lack one give their true start, counted in two levels.
+    differences = rows.withColumn("difference", F.col("start_ms") - F.col("offset_ms")).groupBy("lifelog_id", "difference").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("offset_ms").isNull()).alias("lacking"), F.min("start_ms").alias("first"))
+    most = F.max_by("difference", F.when(F.col("difference").isNotNull(), F.struct("n", -F.col("difference"))))
+    start = differences.groupBy("lifelog_id").agg(F.coalesce(most, F.min("first")).alias("true_start"), F.sum("lacking").alias("lacking"))
     joined = spoken.join(start.where("lacking > 0").drop("lacking"), "lifelog_id", "left")
     return joined.withColumn("at", F.coalesce("offset_ms", F.col("start_ms") - F.col("true_start"), F.lit(0))).drop("offset_ms", "start_ms", "said", "true_start")
 
