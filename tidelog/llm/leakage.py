@@ -5,10 +5,15 @@ scanned once by the windows of its normalised words, in Arrow batches. A stretch
 ``STRETCH`` words with at most one in ten changed or missing holds ``SEEDS`` intact n-grams or more,
 so a document with fewer for an item cannot hold one of its stretches; the rest are verified by
 aligning words from each run of intact n-grams to both sides, over all alignments that the errors
-allow. Nothing is shuffled: the corpus is read, scanned and left where it is.
+allow. A run of wording that many items share is tried only where the words around it, in any order,
+are enough for a stretch. Nothing is shuffled: the corpus is read, scanned and left where it is.
 
 The table's size is checked: items of more than ``BLOCK_WORDS`` words in all are taken in blocks of
-about that size, each with its own broadcast and scan, so no item and no document is left out.
+about that size, each with its own broadcast and scan, so no item and no document is left out; the
+driver holds one block at a time, and a broadcast lies on disk.
+
+A document's time and memory grow with its words and its hits: they are sorted once, its words are
+placed once, and the hits of one document are taken in parts of about ``HITS``.
 """
 
 from __future__ import annotations
@@ -26,14 +31,23 @@ GRAM, STRETCH, ONE_IN = 6, 20, 10
 #: Intact n-grams of a stretch at least: each changed word breaks as many as an n-gram has words.
 SEEDS = STRETCH - GRAM + 1 - GRAM * (STRETCH // ONE_IN)
 BLOCK_WORDS = 4_000_000
+#: Places of n-grams in items that are looked up at once, and runs that are compared with what stands around them at once.
+HITS, RUNS = 1_000_000, 4_096
+#: A stretch holds one of less than twice its least length; so far around a run its words lie in the item, and by the errors farther in the document.
+NEAR = 2 * STRETCH - 1 - GRAM
+FAR = NEAR + (2 * STRETCH - 1) // ONE_IN
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-#: Markup and entities have no group, so they come out empty; case, punctuation and layout fall away.
-_WORD = re.compile(r"<[^<>]{1,60}>|&#?\w{1,8};|([^\W_]+(?:['’][^\W_]+)*)")
+_CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
+#: Markup, entities, time stamps and the number or sign that a line begins with have no group, so they come out empty; case,
+#: punctuation and layout fall away. A sign of a language without blanks is a word.
+_WORD = re.compile(
+    rf"</?[a-z!][^<>]*>|&#?\w{{1,8}};|{_CLOCK}(?!\w)|^[ \t]*+[>#*\[(-]*+[ \t]*+\d{{1,5}}[\]).:]*(?=\s)|([\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]|[^\W_\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]+(?:['’][^\W_]+)*)", re.M
+)
 
 
 def words(text: str) -> list[str]:
-    """Normalised words; markup, numbers in digits and so time stamps are none."""
-    return [w for w in _WORD.findall(text.lower()) if w and not w[0].isdigit()]
+    """Normalised words; markup, time stamps and numbers of lines are none."""
+    return [w for w in _WORD.findall(text.lower()) if w]
 
 
 def _spans(text: str) -> list[tuple[int, int]]:
@@ -41,7 +55,7 @@ def _spans(text: str) -> list[tuple[int, int]]:
     low = text.lower()
     if len(low) != len(text):  # a letter whose lower case is longer
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    return [m.span() for m in _WORD.finditer(low) if m.group(1) and not m.group(1)[0].isdigit()]
+    return [m.span() for m in _WORD.finditer(low) if m.group(1)]
 
 
 def _hashes(ids: np.ndarray) -> np.ndarray:
@@ -55,35 +69,50 @@ def _hashes(ids: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """The broadcast table: word ids, sorted n-gram hashes with their items and places, and the items' word ids."""
+    """The broadcast table: word ids, the n-grams' hashes once each, their rows by items with their places there, and the items' word ids.
+
+    Passages that are the same word by word stand here once, with all their ids.
+    """
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
-        self.items: dict[int, np.ndarray] = {}
-        hashes, owners, places = [], [], []
+        same: dict[bytes, list[int]] = {}
+        self.items: list[np.ndarray] = []
         for item, text in rows:
-            ids = np.asarray([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.uint64)
-            self.items[item] = ids.astype(np.int64)
-            h = _hashes(ids)
-            hashes.append(h)
-            owners.append(np.full(len(h), item, np.int64))
-            places.append(np.arange(len(h)))
-        self.hashes, self.owners, self.places = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (hashes, owners, places))
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.owners, self.places = self.hashes[order], self.owners[order], self.places[order]
-
-    def seeds(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in ids, item, place in item) of every n-gram that an item has, too."""
+            ids = np.asarray([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.int64)
+            owners = same.setdefault(ids.tobytes(), [])
+            if not owners:
+                self.items.append(ids)
+            owners.append(item)
+        self.ids = [sorted(set(x)) for x in same.values()]
+        hashes = [_hashes(x.astype(np.uint64)) for x in self.items]
+        owners = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+        places = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(h)) for h in hashes]])
+        every = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        order = np.lexsort((owners, every))
+        self.owners, self.places = owners[order], places[order]
+        self.hashes, row, self.uses = np.unique(every[order], return_inverse=True, return_counts=True)
+        self.rows = row * len(self.items) + self.owners  # in order, so an n-gram's rows in a range of items are found by search
+        self.begins = np.cumsum([0, *map(len, self.items)])
+        self.words = np.concatenate([np.zeros(0, np.int64), *self.items])
+
+    def windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ids, n-gram's place here, its uses) of every n-gram of ``ids`` that an item has."""
         unknown = np.concatenate([[0], np.cumsum(ids == 0)])
         whole = np.flatnonzero(unknown[GRAM:] == unknown[:-GRAM]) if len(ids) >= GRAM else np.zeros(0, np.int64)
         if not len(whole) or not len(self.hashes):
             return (np.zeros(0, np.int64),) * 3
-        h = _hashes(ids)[whole]
-        lo, hi = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, "right")
-        n = hi - lo
-        at = np.repeat(whole, n)
-        row = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return at, self.owners[row], self.places[row]
+        h = _hashes(ids.astype(np.uint64))[whole]
+        gram = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = self.hashes[gram] == h
+        return whole[hit], gram[hit], self.uses[gram[hit]]
+
+    def seeds(self, at: np.ndarray, gram: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, place in the item, item's place here) of each n-gram in each item from ``low`` to before ``high``."""
+        first, last = (np.searchsorted(self.rows, gram * len(self.items) + x) for x in (low, high))
+        n = last - first
+        row = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.repeat(at, n), self.places[row], self.owners[row]
 
 
 def _reach(item: np.ndarray, doc: np.ndarray, most: int) -> dict[int, tuple[int, int]]:
@@ -144,13 +173,64 @@ def stretches(item: np.ndarray, doc: np.ndarray, a: int, b: int, n: int) -> set[
     return set().union(*(_around(item, doc, a + k, b + k, GRAM)[0] for k in range(n - GRAM + 1)))
 
 
-def _runs(at: np.ndarray, places: np.ndarray) -> list[tuple[int, int, int]]:
-    """(place in the item, place in the document, words) of each run of n-grams of one item and one document, by diagonals."""
-    order = np.lexsort((at, at - places))
-    at, places = at[order], places[order]
-    opens = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(places) != 1)]))
-    n = np.diff(np.append(opens, len(at))) + GRAM - 1
-    return list(zip(places[opens].tolist(), at[opens].tolist(), n.tolist()))
+def _runs(at: np.ndarray, places: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(item, place in the item, place in ``at``, words, n-grams of its item) of each run of n-grams, by items and diagonals."""
+    order = np.lexsort((at, at - places, items))
+    at, places, items = at[order], places[order], items[order]
+    opens = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(places) != 1) | (np.diff(items) != 0)]))
+    grams = np.diff(np.append(opens, len(at)))
+    _, which = np.unique(items[opens], return_inverse=True)
+    return items[opens], places[opens], at[opens], grams + GRAM - 1, np.bincount(which, weights=grams)[which]
+
+
+def _hopeful(t: Items, doc: np.ndarray, items: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each run whether as many words stand around it in both as a stretch must have, in whatever order."""
+    out = n >= STRETCH - STRETCH // ONE_IN
+    rest = np.flatnonzero(~out)
+    padded = np.concatenate([np.zeros(FAR, np.int64), doc, np.zeros(FAR, np.int64)])
+    near, far = np.arange(NEAR), np.arange(FAR)
+    for part in np.split(rest, range(RUNS, len(rest), RUNS)):
+        first, last = t.begins[items[part]], t.begins[items[part] + 1]
+        left, right = (first + a[part])[:, None] - 1 - near, (first + a[part] + n[part])[:, None] + near
+        mine = [np.where(x >= first[:, None], t.words[np.maximum(x, 0)], -1) if k else np.where(x < last[:, None], t.words[np.minimum(x, len(t.words) - 1)], -1) for x, k in ((left, 1), (right, 0))]
+        theirs = [padded[np.clip(x + FAR, 0, len(padded) - 1)] for x in (b[part][:, None] - 1 - far, (b[part] + n[part])[:, None] + far)]
+        shared = sum((m[:, :, None] == d[:, None, :]).any(2).sum(1) for m, d in zip(mine, theirs))
+        out[part] = shared + n[part] >= STRETCH - STRETCH // ONE_IN
+    return out
+
+
+def _document(t: Items, doc: np.ndarray, windows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+    """(item's place in the table, words, begin, end by words of ``doc``) of each stretch in a document."""
+    at, gram, uses = windows
+    steps = -(-int(uses.sum()) // HITS)  # wording that many items share is taken for some items after others
+    edges = np.linspace(0, len(t.items), steps + 1).astype(int).tolist()
+    for low, high in zip(edges, edges[1:]):
+        hits = t.seeds(at, gram, low, high)
+        if not len(hits[0]):
+            continue
+        items, a, b, size, grams = _runs(*hits)
+        keep = np.flatnonzero(grams >= SEEDS)
+        keep = keep[np.isin(items[keep], items[keep[_hopeful(t, doc, items[keep], a[keep], b[keep], size[keep])]])]
+        bounds = np.append(np.flatnonzero(np.diff(items[keep], prepend=-1)), len(keep)).tolist()
+        for lo, hi in zip(bounds, bounds[1:]):
+            item = int(items[keep[lo]])
+            found = set().union(*(stretches(t.items[item], doc, *x) for x in zip(*(v[keep[lo:hi]].tolist() for v in (a, b, size)))))
+            covered: list[tuple[int, int]] = []
+            for words_, begin, end in sorted(found, key=lambda x: (-x[0], x[1:])):
+                new = begin
+                for x, y in covered:  # in order and apart
+                    if x > new:
+                        break
+                    new = max(new, y)
+                if new < end:
+                    yield item, words_, begin, end
+                    joined = [(begin, end)]
+                    for x, y in covered:
+                        if y < joined[-1][0] or x > joined[-1][1]:
+                            joined.append((x, y))
+                        else:
+                            joined[0] = min(x, joined[0][0]), max(y, joined[0][1])
+                    covered = sorted(joined)
 
 
 def _scanner(table):
@@ -168,26 +248,18 @@ def _scanner(table):
                     flat += [get(w, 0) for w in words(text)]
                 flat.append(0)
             ids = np.asarray(flat, np.int64)
-            at, items, places = t.seeds(ids.astype(np.uint64))
-            if len(at):
-                owner = np.searchsorted(begins, at, "right") - 1
-                order = np.lexsort((items, owner))
-                at, items, places, owner = at[order], items[order], places[order], owner[order]
-                bounds = np.append(np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(items) != 0)])), len(at)).tolist()
-                for lo, hi in zip(bounds, bounds[1:]):
-                    if hi - lo < SEEDS:
-                        continue
-                    d, item = int(owner[lo]), int(items[lo])
-                    target, ws = t.items[item], ids[begins[d] : [*begins[d + 1 : d + 2], len(ids)][0] - 1]
-                    span = None
-                    covered = bytearray(len(ws))
-                    runs = _runs(at[lo:hi] - begins[d], places[lo:hi])
-                    for n, begin, end in sorted(set().union(*(stretches(target, ws, *run) for run in runs)), key=lambda x: (-x[0], x[1:])):
-                        if covered.find(0, begin, end) >= 0:
-                            span = span or _spans(texts[d])
-                            for column, v in zip(out, (item, docs[d], span[begin][0] + 1, span[end - 1][1], n)):
-                                column.append(v)
-                            covered[begin:end] = b"\1" * (end - begin)
+            at, gram, uses = t.windows(ids)
+            owner = np.searchsorted(begins, at, "right") - 1
+            bounds = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(at)).tolist()
+            for lo, hi in zip(bounds, bounds[1:]):
+                d = int(owner[lo])
+                begin, end = begins[d], begins[d + 1] - 1 if d + 1 < len(begins) else len(ids) - 1
+                span = None
+                for item, size, b, e in _document(t, ids[begin:end], (at[lo:hi] - begin, gram[lo:hi], uses[lo:hi])) if uses[lo:hi].sum() >= SEEDS else ():
+                    span = span or _spans(texts[d])
+                    for name in t.ids[item]:
+                        for column, v in zip(out, (name, docs[d], span[b][0] + 1, span[e - 1][1], size)):
+                            column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["item_id", "doc_id", "start_pos", "end_pos", "n_words"])
 
     return run
