@@ -51,5 +51,16 @@ def test_hot_chunk(spark, reference):
     assert len(got) == 3000 and {tuple(r.ids) for r in got} == {tuple(reference(text))}
 
 
+def test_wide_ids(spark, tmp_path):
+    """A vocabulary beyond 16 bits keeps its ids."""
+    lines = open(encode.VOCABULARY, "rb").read().split(b"\n")
+    moved = [b" ".join((a, str(int(b) + 60_000).encode())) if int(b) >= 256 else line for line in lines if line for a, b in [line.split()]]
+    (tmp_path / "wide.tiktoken").write_bytes(b"\n".join(moved))
+    text = "The vendor moved the naïve draft — 2,750 of 会議 — after lunch. " * 40
+    df = spark.createDataFrame([(1, text), (2, text[5:])], "doc_id bigint, text string")
+    plain, wide = ({r.doc_id: r.ids for r in encode.encode(df, vocabulary=v).collect()} for v in (encode.VOCABULARY, str(tmp_path / "wide.tiktoken")))
+    assert wide == {d: [i + 60_000 if i >= 256 else i for i in ids] for d, ids in plain.items()} and max(map(max, wide.values())) > 1 << 16
+
+
 def test_empty(spark):
     assert encode.encode(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []

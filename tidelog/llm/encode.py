@@ -47,6 +47,11 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _width(enc: tiktoken.Encoding) -> str:
+    """The type of a token's id between the shuffles: 16 bits if all ids fit."""
+    return "<u2" if enc.max_token_value < 1 << 16 else "<u4"
+
+
 def _cuts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places to cut in all texts of a batch, and whether a word starts there for certain."""
     h = _GEAR[buf]
@@ -135,7 +140,7 @@ def _encoded(path: str):
             out = []
             for h, salt, text in zip(batch.column("hash").to_pylist(), batch.column("salt").to_pylist(), batch.column("text").to_pylist()):
                 if (h, salt) != last:  # a group's rows with text come first
-                    last, tokens = (h, salt), np.asarray(enc.encode_ordinary(text), "<u4").astype("<u2").tobytes()
+                    last, tokens = (h, salt), np.asarray(enc.encode_ordinary(text), _width(enc)).tobytes()
                 out.append(tokens)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc"), batch.column("pos"), batch.column("exact"), pa.array(out, pa.binary())], names=["key", "doc", "pos", "exact", "tokens"])
 
@@ -178,19 +183,20 @@ def repaired(enc: tiktoken.Encoding, run: list[list[int]]) -> list[int]:
 def stitched(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, current, parts, exact = encoder(path), None, [], []
+        width = _width(enc)
         docs: list = []
         out: list[np.ndarray] = []
 
         def finish() -> np.ndarray:
             if all(exact[1:]):
-                return np.frombuffer(b"".join(parts), "<u2").astype(np.int32)
+                return np.frombuffer(b"".join(parts), width).astype(np.int32)
             ids: list[int] = []
             at = 0
             while at < len(parts):
                 stop = at + 1
                 while stop < len(parts) and not exact[stop]:
                     stop += 1
-                run_ = [np.frombuffer(p, "<u2").tolist() for p in parts[at:stop]]
+                run_ = [np.frombuffer(p, width).tolist() for p in parts[at:stop]]
                 ids += repaired(enc, run_) if len(run_) > 1 else run_[0]
                 at = stop
             return np.asarray(ids, np.int32)
@@ -229,7 +235,7 @@ def encode(df: DataFrame, doc: str = "doc_id", text: str = "text", vocabulary: s
 
     Null and empty texts give the empty list; blank text is encoded. Rows that repeat an id with the
     same text give one row, with other texts one row each; a null id is kept. Texts of any length are
-    encoded whole. Columns other than the two are not read; an empty table gives no rows.
+    encoded whole. ``vocabulary`` is a rank file at the same path on every executor, of any size. Columns other than the two are not read; an empty table gives no rows.
     """
     rows = df.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
     chunks = rows.mapInArrow(chunked, CHUNK_DDL)
