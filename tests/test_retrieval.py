@@ -20,8 +20,8 @@ def logs(spark, rows):
 
 
 def nodes(spark, rows):
-    """(node_id, lifelog_id, kind, content) rows as nodes."""
-    return spark.createDataFrame([(n, log, 1, None, 0, kind, text, None, None, None, None, None, None, T0) for n, log, kind, text in rows], NODE)
+    """(node_id, lifelog_id, kind, content[, parent, ordinal]) rows as nodes."""
+    return spark.createDataFrame([(r[0], r[1], 1, r[4] if len(r) > 4 else None, r[5] if len(r) > 5 else 0, r[2], r[3], None, None, None, None, None, None, T0) for r in rows], NODE)
 
 
 def ids(df):
@@ -77,10 +77,12 @@ def test_search_scope_comes_first(spark, day):
 
 def test_search_nested_and_literal(spark):
     df = logs(spark, [("a", None, None, T0, None), ("b", "50% off", None, T0, None)])
-    content = nodes(spark, [(1, "a", "text", "The Budget"), (2, "b", "text", "none"), (3, "zz", "text", "budget")])
+    content = nodes(spark, [(1, "a", "text", "The Budget"), (2, "b", "text", "none"), (3, "zz", "text", "budget"), (4, "b", "text", "budget", 2)])
     assert ids(retrieval.search(df, content, Search(term="budget"))) == ["a"]
     assert ids(retrieval.search(df, content, Search(term="0% o"))) == ["b"]
     assert ids(retrieval.search(df, content, Search(term="_"))) == []
+    hits = {r.id: r.hits for r in retrieval.matches(df, content, ["budget", "off"], 20, ["title"]).collect()}
+    assert hits == {"a": [True, False], "b": [False, True]}
 
 
 def test_pages(day):
@@ -119,7 +121,13 @@ def test_durations(spark):
 def test_date_forms(spark, text, day, time):
     assert dates.is_date(text) is day and dates.is_date_time(text) is time
     df = spark.createDataFrame([(text,)], "t string")
-    assert df.select(dates.valid_date(F.col("t"))).first()[0] is day
+    assert df.select(dates.valid_date(F.col("t"))).first()[0] is day and df.select(dates.valid_date_time(F.col("t"))).first()[0] is time
+
+
+def test_parsed(spark):
+    want = {"2024-01-15": datetime(2024, 1, 15), "2024-01-15 10:30:00": datetime(2024, 1, 15, 10, 30), "2024-01-15T10:30:00.5Z": datetime(2024, 1, 15, 10, 30, 0, 500_000), "2024-01-15T10:30:00-05:30": datetime(2024, 1, 15, 16), "2024-13-01": None, "soon": None, "": None, None: None}
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r.t: r.p for r in df.select("t", dates.parsed(F.col("t")).alias("p")).collect()} == want
 
 
 def test_parameters():
@@ -135,7 +143,7 @@ def test_parameters():
 
 def test_rendering(spark):
     df = logs(spark, [("a", "", None, T0, T0 + timedelta(hours=1)), ("b", "B", "# body", None, None)])
-    content = nodes(spark, [(1, "a", "Heading1", "One"), (2, "a", "heading2 ", "Two"), (3, "a", "blockquote", "said"), (4, "a", "text", "left out"), (5, "a", "heading1", None)])
+    content = nodes(spark, [(9, "a", "Heading1", "One", None, 0), (2, "a", "heading2 ", "Two", None, 1), (3, "a", "blockquote", "said", None, 2), (4, "a", "text", "left out", None, 3), (1, "a", "heading1", None, None, 4), (5, "a", "heading2", "nested", 9, 0)])
     outlines = render.outline(retrieval.nodes(content))
     text = {r.id: r.text for r in render.rendered(df, outlines).collect()}
     times = "Start Time: Jan 15, 2024, 12:00 PM UTC\nEnd Time: Jan 15, 2024, 01:00 PM UTC\nDuration: 1h\n"
@@ -145,22 +153,73 @@ def test_rendering(spark):
     assert plain["b"] == "ID: b\nTitle: B" and "Headings" not in plain["a"] and "> said" in plain["a"]
 
 
+def test_zones(spark):
+    df = logs(spark, [("a", "A", None, T0, datetime(2024, 7, 1, 3))])
+    shown = lambda zone: render.rendered(df, zone=zone).first().text.split("\n")[2:4]
+    assert shown("America/New_York") == ["Start Time: Jan 15, 2024, 07:00 AM EST", "End Time: Jun 30, 2024, 11:00 PM EDT"]
+    assert shown("Asia/Tokyo")[0] == "Start Time: Jan 15, 2024, 09:00 PM JST" and shown("UTC")[0].endswith("12:00 PM UTC")
+
+
+def test_headings(spark):
+    content = nodes(spark, [(k, "a", "heading1", f"h{k}", None, 9 - k) for k in range(5)] + [(7, "a", "blockquote", "q", None, 20), (8, "b", "heading1", "deep", 3, 0)])
+    assert [tuple(r) for r in render.first_headings(retrieval.nodes(content)).collect()] == [("a", "h4\nh3\nh2")]
+    listing = logs(spark, [("a", None, None, T0, None)])
+    count = lambda **p: retrieval.contents_of(listing, content, Listing(**p)).count()
+    assert count() == 6 and count(include_headings=False) == 1
+
+
+def test_having(spark):
+    df = logs(spark, [("a", "Roof", "leak", T0, T0 + timedelta(minutes=5)), ("b", "roof LEAK", None, T0, None), ("c", "roof", None, T0, T0 + timedelta(hours=2))])
+    assert ids(retrieval.having(df, words=("roof", "leak"))) == ["a", "b"]
+    assert ids(retrieval.having(df, 300, 7199)) == ["a"] and ids(retrieval.having(df, 301)) == ["c"]
+
+
+def test_speaking_time_and_topics(spark):
+    T1 = T0 + timedelta(seconds=90)
+    rows = [("blockquote", " Ana", T0, T1), ("blockquote", "ANA ", T0, None), ("blockquote", "ana", T1, T0), ("blockquote", None, T0, T1), ("heading1", "ana", T0, T1), ("blockquote", "bo", None, T1), ("blockquote", "bo", datetime(2024, 2, 1), datetime(2024, 2, 1, 1))]
+    said = spark.createDataFrame(rows, "kind string, speaker_name string, start_time timestamp_ntz, end_time timestamp_ntz")
+    assert sorted(tuple(r) for r in rollups.speaking_time(said).collect()) == [(date(2024, 1, 1), "ana", 3, 90), (date(2024, 2, 1), "bo", 1, 3600)]
+    df = logs(spark, [("a", "Budget budget review", None, T0, None), ("b", "The BUDGET", None, T0, None), ("c", None, None, T0, None)])
+    assert sorted(tuple(r)[1:] for r in rollups.topics(df).collect()) == [("budget", 2), ("review", 1)]
+
+
+def test_narrow_plans(spark, sf):
+    """What isn't asked for is not read, and a listing reads wide columns for its own rows alone."""
+    from tidelog.plans import recordings as plans
+
+    plan = lambda name: plans.QUERIES[name](spark, sf)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    for name in ("display_times", "duration_text", "monthly_rollup", "sparse_weekday_spine", "content_count", "speaking_time", "monthly_topics"):
+        scans = [line for line in plan(name).split("\n") if "ReadSchema" in line]
+        assert scans and not any("markdown" in x.split("ReadSchema")[1] for x in scans)
+        assert name in ("monthly_topics",) or not any("content:" in x.split("ReadSchema")[1] or "title" in x.split("ReadSchema")[1] and name != "monthly_rollup" for x in scans)
+    assert "GreaterThanOrEqual(start_time" in plan("sparse_weekday_spine")
+    assert plan("list_recent").count("markdown:string") == 1 and plan("multi_keyword_distinct").count("FileScan") <= 5
+
+
 def test_result_sets(spark):
     item = lambda *x: spark.createDataFrame(list(x), "start_time timestamp_ntz, id string, text string")
     assert render.result_set(item(), "test").first().text == 'No lifelogs found matching "test"'
     assert render.result_set(item()).first().text == "No lifelogs found"
     assert render.result_set(item((T0, "a", "A"))).first().text == "Found 1 lifelog:\n\nA"
-    assert render.result_set(item((T0, "a", "A"), (T0 + timedelta(1), "b", "B")), "x").first().text == 'Found 2 lifelogs matching "x":\n\nB\n---\n\nA'
+    two = item((T0, "a", "A"), (T0 + timedelta(1), "b", "B"))
+    assert render.result_set(two, "x").first().text == 'Found 2 lifelogs matching "x":\n\nB\n---\n\nA'
+    assert render.result_set(two, most=1).first().text == "Found 1 lifelog:\n\nB"
+    with pytest.raises(InvalidParameter):
+        render.result_set(two, most=101)
 
 
 def test_resources(spark, day):
     valid = ["lifelog://", "lifelog://recent", "lifelog://2024-01-15", "lifelog://2024-01-15/a/b"]
     assert all(resources.parse(u) for u in valid) and not any(resources.parse(u) for u in ["lifelog://x", "http://recent", "lifelog://2024-1-5", "lifelog://recent/1", ""])
     assert len(ids(resources.listed(day, "lifelog://recent"))) == 20 and len(ids(resources.read(day, "lifelog://recent"))) == 10
-    assert resources.listed(day, "lifelog://") is None and resources.read(day, "lifelog://") is None
+    assert {r.uri for r in resources.listed(day, "lifelog://").collect()} == set(resources.TEMPLATES) and resources.read(day, "lifelog://") is None
+    uris = [*valid, "lifelog://x", "http://recent", "lifelog://2024-1-5", "lifelog://recent/1", "", None]
+    for r in spark.createDataFrame([(u,) for u in uris], "uri string").select("uri", resources.parts(F.col("uri")).alias("p")).select("uri", "p.*").collect():
+        a = resources.parse(r.uri) if r.uri is not None else None
+        assert (r.valid, r.recent, r.date, r.id) == (a is not None, bool(a and a.recent), a and a.date, a and a.id), r
     assert ids(resources.read(day, "lifelog://2024-01-15/r03")) == ["r03"] and ids(resources.read(day, "lifelog://2024-01-14/r03")) == []
     counts = spark.createDataFrame([("r03", 2)], "lifelog_id string, content_count bigint")
-    row = resources.rows(retrieval.recordings(day), counts).where("id = 'r03'").first()
+    row = resources.rows(retrieval.recordings(day).selectExpr("*", "coalesce(markdown <> '', false) as has_markdown"), counts).where("id = 'r03'").first()
     assert row.uri == "lifelog://2024-01-15/r03" and row.content_count == 2 and row.has_markdown is False
 
 
@@ -174,7 +233,9 @@ def test_days(spark, day):
 def test_empty_tables(spark):
     none, no_nodes = logs(spark, []), nodes(spark, [])
     assert ids(retrieval.recent(none, Listing())) == ids(retrieval.search(none, no_nodes, Search(term="x"))) == []
-    assert rollups.monthly(none).count() == rollups.speakers(retrieval.nodes(no_nodes)).count() == render.outline(retrieval.nodes(no_nodes)).count() == 0
+    assert rollups.monthly(none.selectExpr("*", "true as titled")).count() == rollups.topics(none).count() == retrieval.having(none, 1, 2, ("x",)).count() == 0
+    said = no_nodes.selectExpr("*", "lower(node_type) as kind", "1 as chars")
+    assert rollups.speakers(said).count() == rollups.speaking_time(said).count() == render.outline(retrieval.nodes(no_nodes)).count() == render.first_headings(said).count() == 0
     assert {r.n for r in textops.phrase_counts(none, ["a", "b"]).collect()} == {0}
 
 

@@ -1,85 +1,21 @@
-"""Cache, retry, templates, vectors, sinks, streams."""
+"""Vectors, sinks, checkpoints, streams."""
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidelog import cache, templates
 from tidelog.operators import vectors
 from tidelog.schema import RECORDING
-from tidelog.sources import retry, sinks
+from tidelog.sources import cut, sinks
 from tidelog.streaming import monitor
 
 T0 = datetime(2024, 1, 15, 12)
 
 
-def test_cache():
-    now, gone = [0.0], []
-    c = cache.PlanCache(2, 1.0, lambda k, v: gone.append(k), lambda: now[0])
-    c.put("a", 1)
-    c.put("b", 2)
-    assert c.get("a") == 1
-    c.put("c", 3)
-    assert gone == ["b"] and "b" not in c and len(c) == 2 and c.stats.evictions == 1
-    now[0] = 1.0
-    assert c.get("a") == 1
-    now[0] = 1.01
-    assert "a" not in c and c.get("a") is None and c.get("z") is None
-    assert (c.stats.hits, c.stats.misses) == (2, 2) and c.stats.hit_rate == 0.5
-    assert c.delete("c") and not c.delete("c")
-    c.put("d", 4)
-    c.clear()
-    assert len(c) == 0 and c.stats.hits == 2
-    assert cache.key("search", term="Foo", limit=3) == cache.key("search", limit=3, term="foo") != cache.key("search", term="foo", limit=3, include_markdown=False)
-
-
-def test_cache_persists(spark):
-    rows = cache.standard()["row"]
-    df = rows.get_or("k", lambda: spark.range(3))
-    assert df.is_cached and rows.get_or("k", lambda: None) is df
-    rows.clear()
-    assert not df.is_cached
-
-
-def test_retry():
-    pauses, noted, calls = [], [], []
-
-    def fails(error, times):
-        def call():
-            calls.append(1)
-            if len(calls) <= times:
-                raise error
-            return "ok"
-
-        calls.clear()
-        return call
-
-    assert retry.retried(fails(retry.SourceError("busy", 503), 2), sleep=pauses.append, noted=lambda n, e: noted.append(n)) == "ok"
-    assert pauses == [1, 2] and noted == [1, 2]
-    pauses.clear()
-    assert retry.retried(fails(OSError(), 7), 8, 5, sleep=pauses.append) == "ok" and max(pauses) == 30
-    pauses.clear()
-    assert retry.retried(fails(OSError(), 2), delay=2, exponential=False, sleep=pauses.append) == "ok" and pauses == [2, 4]
-    for error in (retry.SourceError("no", 404), ValueError()):
-        with pytest.raises(type(error)):
-            retry.retried(fails(error, 1), sleep=pauses.append)
-        assert len(calls) == 1
-    assert retry.may_pass(retry.SourceError("slow", 429)) and not retry.may_pass(retry.SourceError("no", 400))
-
-
-def test_templates():
-    assert "2024-01-15" in templates.TEMPLATES["day"].expanded(date="2024-01-15", focus="")
-    with pytest.raises(ValueError, match="date"):
-        templates.TEMPLATES["day"].expanded(date="")
-    assert templates.TEMPLATES["meeting"].expanded(id="{other}").count("{other}") == 1
-    assert templates.intent("Please summarise lifelog://recent") == ("summary", {"of": "lifelog://recent"})
-    assert templates.intent("extract tasks from lifelog://2024-01-15/a")[1] == {"what": "tasks", "of": "lifelog://2024-01-15/a"}
-    assert templates.intent("hello") is None
-    assert templates.addresses("compare lifelog://2024-01-15/a, lifelog://2024-01-15 and lifelog://recent") == ["lifelog://2024-01-15/a", "lifelog://2024-01-15", "lifelog://recent"]
-
-
 def test_nearest(spark, monkeypatch):
     rnd = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rnd.normal(size=8)], "x") for i in range(300)]
@@ -98,6 +34,9 @@ def test_nearest(spark, monkeypatch):
             want = sorted((-s, i) for s, i in zip(score, at) if i != q)[:5]
             assert [v for _, v in sorted(got[q])] == [i for _, i in want]
     assert vectors.nearest(df, df.limit(0), 5).count() == 0
+    monkeypatch.setattr(vectors, "MOST_BLOCKS", 1)
+    with pytest.raises(ValueError, match="blocks"):
+        vectors.nearest(df, df, 5)
 
 
 def recordings(spark, n):
@@ -107,9 +46,17 @@ def recordings(spark, n):
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame(recordings(spark, 20), RECORDING)
-    sinks.write_by_day(df, str(tmp_path / "days"), files_a_day=2)
-    assert (tmp_path / "days/year=2024/month=1/day=15").is_dir()
-    assert spark.read.parquet(str(tmp_path / "days")).drop("year", "month", "day").exceptAll(df).count() == 0
+    untimed = df.limit(3).withColumn("start_time", F.lit(None).cast("timestamp_ntz"))
+    busy = spark.createDataFrame([(f"x{i}", 1, None, None, T0, None, T0) for i in range(40)], RECORDING)
+    every = df.union(untimed).union(busy)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # else a few rows are put together again
+    sinks.write_by_day(every, str(tmp_path / "days"), rows_a_file=10)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "days/year=2024/month=1/day=15").glob("*.parquet"))) > 1
+    back = spark.read.parquet(str(tmp_path / "days")).drop("year", "month", "day").select(every.columns)
+    assert back.exceptAll(every).count() == every.exceptAll(back).count() == 0
+    sinks.write_json(df, str(tmp_path / "json"))
+    assert spark.read.schema(RECORDING).json(str(tmp_path / "json")).exceptAll(df).count() == 0
     sinks.write_csv(df, str(tmp_path / "csv"))
     back = sinks.read_csv(spark, str(tmp_path / "csv"), RECORDING)
     assert sorted(r.id for r in back.collect()) == sorted(r.id for r in df.collect())
@@ -117,6 +64,36 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "text")).where("value <> ''").count() == 20
 
 
+def test_checkpoints_need_a_shared_folder(spark):
+    assert cut(spark.range(3)).count() == 3
+    unset = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True)))
+    context = SimpleNamespace(_jsc=unset, getConf=dict, master="spark://somewhere:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        cut(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context)))
+
+
+def test_entry_without_the_subpackage(monkeypatch, capsys):
+    """A library that only the subpackage needs may be absent."""
+    import __spark_entry__ as entry
+
+    def absent(name):
+        raise ModuleNotFoundError("No module named 'ahocorasick'", name="ahocorasick")
+
+    monkeypatch.setattr(entry.importlib, "import_module", absent)
+    assert "p1_found" in entry.queries() and "p3_found" not in entry.queries() and "ahocorasick" in capsys.readouterr().err
+
+
+def test_watch_of_later_deliveries(spark, tmp_path):
+    """A term that only the complete delivery has comes out, and each term once."""
+    rows = [("a", 1, "Budget", None, T0, None, T0), ("a", 1, "Budget", "the plan", T0, None, T0 + timedelta(hours=1)), ("a", 1, "Budget", "the plan", T0, None, T0 + timedelta(hours=2))]
+    seen = []
+    for k, row in enumerate(rows):
+        spark.createDataFrame([row], RECORDING).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = monitor.watched(monitor.arriving(spark, str(tmp_path / "in"), RECORDING), ["budget", "plan"])
+        monitor.started(stream, lambda df, _: seen.extend((r.id, r.term) for r in df.collect()), str(tmp_path / "check")).awaitTermination()
+    assert sorted(seen) == [("a", "budget"), ("a", "plan")]
+
+
 def test_stream(spark, tmp_path):
     rows = recordings(spark, 12)
     source, seen = str(tmp_path / "in"), []

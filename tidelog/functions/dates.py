@@ -44,6 +44,16 @@ def valid_date(c: Column) -> Column:
     return F.coalesce(c.rlike(DATE) & F.try_to_date(c, "yyyy-MM-dd").isNotNull(), F.lit(False))
 
 
+def valid_date_time(c: Column) -> Column:
+    """:func:`is_date_time` of a string column; null counts as no time."""
+    return F.coalesce(c.rlike(DATE_TIME) & F.try_to_timestamp(F.regexp_replace(F.regexp_replace(c, "T", " "), "Z$", "")).isNotNull(), F.lit(False))
+
+
+def parsed(c: Column) -> Column:
+    """The UTC time, without zone, of a string that is a day, a time, or a time with an offset; null for others."""
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}:\d{2}(?:[.]\d{1,6})?(?:Z|[+-]\d{2}:\d{2})?)?$"), F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(F.when(c.rlike(r"(?:Z|[+-]\d{2}:\d{2})$"), c).otherwise(F.concat(c, F.when(F.length(c) > 10, F.lit("Z")).otherwise(F.lit(" 00:00:00Z"))))).cast("timestamp_ntz")))
+
+
 def iso_date(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
@@ -52,9 +62,24 @@ def iso_millis(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def display(ts: Column) -> Column:
-    """Jan 15, 2024, 10:00 AM UTC; null for null."""
-    return F.date_format(ts, "MMM d, yyyy, hh:mm a 'UTC'")
+def zone_names(zone: str) -> dict[int, str]:
+    """The short names of a zone by its offset from UTC in minutes, the latest first to count."""
+    names = {}
+    for year in range(1970, 2038):
+        for month in range(1, 13):
+            at = datetime(year, month, 1, tzinfo=ZoneInfo(zone))
+            names[int(at.utcoffset().total_seconds()) // 60] = at.tzname()
+    return names
+
+
+def display(ts: Column, zone: str = "UTC") -> Column:
+    """Jan 15, 2024, 10:00 AM UTC, in the zone; null for null."""
+    if zone == "UTC":
+        return F.date_format(ts, "MMM d, yyyy, hh:mm a 'UTC'")
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), ts.cast("timestamp_ntz"))
+    offset = F.timestamp_diff("MINUTE", ts.cast("timestamp_ntz"), local).cast("int")
+    names = F.create_map(*[F.lit(x) for item in zone_names(zone).items() for x in item])
+    return F.concat(F.date_format(local, "MMM d, yyyy, hh:mm a "), F.element_at(names, offset))
 
 
 def seconds_between(start: Column, end: Column) -> Column:

@@ -47,7 +47,7 @@ def _stitched(df: DataFrame, key: str, start: str, end: str, width: int) -> Data
     earlier = Window.partitionBy("k", "shard").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     local = pieces.withColumn("reach", F.max("e").over(earlier))
     by_key = Window.partitionBy("k").orderBy("shard")
-    past, ahead = by_key.rowsBetween(Window.unboundedPreceding, -1), by_key.rowsBetween(1, Window.unboundedFollowing)
+    past, later = by_key.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("k").orderBy(F.desc("shard")).rowsBetween(Window.unboundedPreceding, -1)
     shards = (
         local.groupBy("k", "shard")
         .agg(
@@ -59,7 +59,7 @@ def _stitched(df: DataFrame, key: str, start: str, end: str, width: int) -> Data
         .withColumn("cover", F.max("last_e").over(past))
         .withColumn("whole", F.coalesce(F.max("span").over(by_key.rowsBetween(Window.unboundedPreceding, 0)) > F.col("shard"), F.lit(False)))
         .withColumn("stop", F.when(~F.col("whole"), F.when(F.col("first_s") <= F.col("cover"), F.col("break_e")).otherwise(F.col("cover"))))
-        .withColumn("runs_to", F.coalesce(F.first("stop", ignorenulls=True).over(ahead), F.max("last_e").over(Window.partitionBy("k"))))
+        .withColumn("runs_to", F.coalesce(F.last("stop", ignorenulls=True).over(later), F.max("last_e").over(Window.partitionBy("k"))))
         .where(~F.col("whole"))
         .select("k", "shard", "cover", "runs_to")
     )

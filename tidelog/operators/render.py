@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.dates import display, duration_text, seconds_between
+from tidelog.params import MOST, count
 
 RULE = "\n---\n\n"
 
@@ -15,20 +16,32 @@ def shown_title(title: Column) -> Column:
 
 
 def outline(nodes: DataFrame) -> DataFrame:
-    """(lifelog_id, headings, body): numbered headings of both levels, and the lines of all nodes, in order of node id.
+    """(lifelog_id, headings, body): numbered headings of both levels, and the lines of all nodes, of a recording's own list.
 
-    A row holds one recording's lines, as the recording itself does. Unknown kinds have no line.
+    That is the nodes at the top, in the order of their ordinal, then of node id; what is nested in them
+    is not shown. A row holds one recording's lines, as the recording itself does. Unknown kinds have no line.
     """
     text = F.coalesce(F.col("content"), F.lit(""))
     line = F.when(F.col("kind") == "heading1", F.concat(F.lit("\n# "), text)).when(F.col("kind") == "heading2", F.concat(F.lit("\n## "), text)).when(F.col("kind") == "blockquote", F.concat(F.lit("> "), text))
-    ordered = F.array_sort(F.collect_list(F.struct("node_id", "kind", text.alias("content"), line.alias("line"))))
-    rows = nodes.groupBy("lifelog_id").agg(ordered.alias("n"))
-    heads = F.transform(F.filter("n", lambda x: x["kind"].isin("heading1", "heading2")), lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x["content"]))
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "node_id", "kind", text.alias("content"), line.alias("line"))))
+    rows = nodes.where("parent_node_id is null").groupBy("lifelog_id").agg(ordered.alias("n"))
+    heads = F.transform(F.filter("n", _is_heading), lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x["content"]))
     return rows.select("lifelog_id", F.array_join(heads, "\n").alias("headings"), F.array_join(F.transform("n", lambda x: x["line"]), "\n").alias("body"))
 
 
-def rendered(recordings: DataFrame, outlines: DataFrame | None = None, include_markdown: bool = True, include_headings: bool = True) -> DataFrame:
-    """(id, start_time, text): each recording as lines: id, title, times and duration as far as known, headings, content.
+def _is_heading(node: Column) -> Column:
+    return node["kind"].isin("heading1", "heading2")
+
+
+def first_headings(nodes: DataFrame, most: int = 3) -> DataFrame:
+    """(lifelog_id, headings): the first ``most`` headings of each recording's own list, in order."""
+    rows = nodes.where("parent_node_id is null and kind in ('heading1', 'heading2')").groupBy("lifelog_id")
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "node_id", F.coalesce("content", F.lit("")).alias("content"))))
+    return rows.agg(F.array_join(F.transform(F.slice(ordered, 1, most), lambda x: x["content"]), "\n").alias("headings"))
+
+
+def rendered(recordings: DataFrame, outlines: DataFrame | None = None, include_markdown: bool = True, include_headings: bool = True, zone: str = "UTC") -> DataFrame:
+    """(id, start_time, text): each recording as lines: id, title, times in the zone and duration as far as known, headings, content.
 
     The content is the markdown if wanted and not empty, else the nodes' lines.
     """
@@ -39,15 +52,16 @@ def rendered(recordings: DataFrame, outlines: DataFrame | None = None, include_m
     headings, body = (F.nullif(F.col(c), F.lit("")) if outlines is not None else nothing for c in ("headings", "body"))
     markdown = F.nullif(F.col("markdown"), F.lit("")) if include_markdown else nothing
     lines = [
-        part("ID", F.col("id")), part("Title", shown_title(F.col("title"))), part("Start Time", display(F.col("start_time"))), part("End Time", display(F.col("end_time"))), part("Duration", duration),
+        part("ID", F.col("id")), part("Title", shown_title(F.col("title"))), part("Start Time", display(F.col("start_time"), zone)), part("End Time", display(F.col("end_time"), zone)), part("Duration", duration),
         F.concat(F.lit("\nHeadings:\n"), headings) if include_headings else nothing, F.concat(F.lit("\nContent:\n"), F.coalesce(markdown, body)),
     ]
     return df.select("id", "start_time", F.concat_ws("\n", *lines).alias("text"))
 
 
-def result_set(items: DataFrame, term: str | None = None) -> DataFrame:
-    """(text): a header with the number of items and the items, newest first; for listings with a limit."""
+def result_set(items: DataFrame, term: str | None = None, most: int = MOST) -> DataFrame:
+    """(text): a header with the number of items and the items, newest first, ``most`` at most, which is what a listing may hold."""
     tail = f' matching "{term}"' if term else ""
+    items = items.orderBy(F.desc_nulls_last("start_time"), F.desc("id")).limit(count("most", most))
     joined = F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("start_time", "id", "text")))), lambda x: x["text"]), RULE)
     n = F.count(F.lit(1))
     header = F.concat(F.lit("Found "), n.cast("string"), F.when(n == 1, F.lit(" lifelog")).otherwise(F.lit(" lifelogs")), F.lit(f"{tail}:\n\n"))

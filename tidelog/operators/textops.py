@@ -75,6 +75,6 @@ def most_relevant(df: DataFrame, phrase: str, most: int = 5) -> DataFrame:
     return relevance(df, phrase).orderBy(F.desc("score"), F.desc("start_time"), F.desc("id")).limit(most)
 
 
-def numbered(df: DataFrame, by: list[Column]) -> DataFrame:
-    """``df`` with ``place``, 1 for the first row. For listings that a limit has made small: a single window."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*by)).cast("long"))
+def numbered(df: DataFrame, by: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows of ``df`` with ``place``, 1 for the first; each task gives that many, and one window has them."""
+    return df.orderBy(*by).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*by)).cast("long"))

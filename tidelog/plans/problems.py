@@ -76,7 +76,7 @@ periods as (
   select level, entity_key, n, min(s) as period_start_ms, max(e) as period_end_ms from numbered group by level, entity_key, n)
 """
 
-_NODE_TREE = """
+NODE_TREE = """
 with recursive bodies as (
   select payload_id, cast(body as json) as j from lifelog_payloads where body is not null and json_valid(body)),
 lists as (
@@ -110,8 +110,8 @@ select level, entity_key, gap_start_ms, gap_end_ms from (
 where gap_start_ms is not null and (level = 'lifelog' or gap_end_ms - gap_start_ms < 86400000)
 """,
     "p1_periods": _INTERVALS + "select level, entity_key, period_start_ms, period_end_ms from periods",
-    "p5_found": _NODE_TREE + "select distinct payload_id, lifelog_id, node_path, parent_path from tree where depth > 0",
-    "p5_nodes": _NODE_TREE
+    "p5_found": NODE_TREE + "select distinct payload_id, lifelog_id, node_path, parent_path from tree where depth > 0",
+    "p5_nodes": NODE_TREE
     + """
 select payload_id, cast(recording_no as int) as recording_no, lifelog_id, node_path, parent_path, cast(depth as int) as depth,
   node->>'$.type' as node_type, node->>'$.content' as content, node->>'$.startTime' as start_time, node->>'$.endTime' as end_time,
@@ -119,7 +119,7 @@ select payload_id, cast(recording_no as int) as recording_no, lifelog_id, node_p
   node->>'$.speakerName' as speaker_name, node->>'$.speakerIdentifier' as speaker_identifier
 from tree where depth > 0
 """,
-    "p5_recordings": _NODE_TREE
+    "p5_recordings": NODE_TREE
     + """
 select r.payload_id, cast(r.recording_no as int) as recording_no, r.r->>'$.id' as lifelog_id, r.r->>'$.title' as title, r.r->>'$.markdown' as markdown,
   r.r->>'$.startTime' as start_time, r.r->>'$.endTime' as end_time,

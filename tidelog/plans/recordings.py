@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import dates
-from tidelog.operators import render, resources, retrieval, rollups, textops, vectors
+from tidelog.operators import nested, render, resources, retrieval, rollups, textops, vectors
 from tidelog.params import ByDate, ById, ByRange, Listing, Search
+from tidelog.plans.problems import NODE_TREE
 from tidelog.sources import envelopes, table
 
 DAY, ZONE, PHRASE = "2023-01-09", "America/New_York", "the plan for"
@@ -24,6 +25,14 @@ def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lifelog_contents")
 
 
+def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.recordings(_logs(spark, sf_dir), ["start_time", "end_time"])
+
+
+def _texts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return retrieval.recordings(_logs(spark, sf_dir), ["title", "markdown", *more])
+
+
 def _newest(spark: SparkSession, sf_dir: str, n: int = NEWEST) -> DataFrame:
     return retrieval.recent(_logs(spark, sf_dir), Listing(limit=n))
 
@@ -75,7 +84,7 @@ def search_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exclude_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textops.excluding(recordings(spark, sf_dir), ["insurance", "Battery"]).select("id", "title")
+    return textops.excluding(_texts(spark, sf_dir), ["insurance", "Battery"]).select("id", "title")
 
 
 def filter_by_text_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,30 +93,28 @@ def filter_by_text_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_keyword_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results of three searches, one after another, each recording once."""
-    found = None
-    for i, term in enumerate(["roof leak", "insurance", "survey"]):
-        part = retrieval.search(_logs(spark, sf_dir), _contents(spark, sf_dir), Search(term=term, fetch_limit=NEWEST)).select("id", "title", F.lit(i).alias("place"))
-        found = part if found is None else found.unionByName(part)
-    return textops.keep_last(found, "id", "place", ["title"]).select("id", "title", "first_place")
+    """Results of three searches, one after another, each recording once: one pass with a flag a term."""
+    found = retrieval.matches(_logs(spark, sf_dir), _contents(spark, sf_dir), ["roof leak", "insurance", "survey"], NEWEST, ["title"])
+    places = found.select("id", "title", F.posexplode("hits").alias("place", "hit")).where("hit")
+    return textops.keep_last(places, "id", "place", ["title"]).select("id", "title", "first_place")
 
 
 def phrase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textops.phrase_counts(recordings(spark, sf_dir), [PHRASE, "next point is", "50% off", "never said"])
+    return textops.phrase_counts(_texts(spark, sf_dir), [PHRASE, "next point is", "50% off", "never said"])
 
 
 def related_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = textops.numbered(_newest(spark, sf_dir, 30).where(retrieval.holds("plan", "title", "markdown")), [F.desc("start_time"), F.desc("id")])
+    placed = textops.numbered(_newest(spark, sf_dir, 30).where(retrieval.holds("plan", "title", "markdown")), [F.desc("start_time"), F.desc("id")], 30)
     return textops.related_words(placed, "plan")
 
 
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = recordings(spark, sf_dir)
+    df = retrieval.recordings(_logs(spark, sf_dir), ["markdown"])
     return df.select("id", textops.term_frequency(df, "the", "markdown").alias("n"))
 
 
 def relevance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textops.relevance(recordings(spark, sf_dir), PHRASE).select("id", "score")
+    return textops.relevance(_texts(spark, sf_dir), PHRASE).select("id", "score")
 
 
 def relevance_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,52 +129,96 @@ def dedupe_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of over five letters in all markdown with the number of recordings that use them."""
-    words = recordings(spark, sf_dir).select("id", F.explode(F.array_distinct(F.split(F.lower("markdown"), "[^a-z]+"))).alias("word"))
+    words = retrieval.recordings(_logs(spark, sf_dir), ["markdown"]).select("id", F.explode(F.array_distinct(F.split(F.lower("markdown"), "[^a-z]+"))).alias("word"))
     return words.where(F.length("word") > 5).groupBy("word").agg(F.count(F.lit(1)).alias("n_recordings"))
 
 
 def duration_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = dates.seconds_between(F.col("start_time"), F.col("end_time"))
-    return recordings(spark, sf_dir).select("id", seconds.alias("seconds"), dates.duration_text(seconds).alias("duration"))
+    return _times(spark, sf_dir).select("id", seconds.alias("seconds"), dates.duration_text(seconds).alias("duration"))
 
 
 def display_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recordings(spark, sf_dir).select("id", dates.iso_date(F.col("start_time")).alias("day"), dates.iso_millis(F.col("start_time")).alias("iso"), dates.display(F.col("start_time")).alias("shown"))
+    at = F.col("start_time")
+    return retrieval.recordings(_logs(spark, sf_dir), ["start_time"]).select("id", dates.iso_date(at).alias("day"), dates.iso_millis(at).alias("iso"), dates.display(at).alias("shown"), dates.display(at, ZONE).alias("shown_local"))
 
 
 def content_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes at the top and at any level of every recording."""
-    return retrieval.nodes(_contents(spark, sf_dir)).groupBy("lifelog_id").agg(F.count_if(F.col("parent_node_id").isNull()).alias("n_top"), F.count(F.lit(1)).alias("n_all"))
+    return retrieval.nodes(_contents(spark, sf_dir), ["parent_node_id"]).groupBy("lifelog_id").agg(F.count_if(F.col("parent_node_id").isNull()).alias("n_top"), F.count(F.lit(1)).alias("n_all"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.nodes(_contents(spark, sf_dir), ["parent_node_id", "ordinal", "kind", "content"])
 
 
 def headings_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.outline(retrieval.nodes(_contents(spark, sf_dir))).select("lifelog_id", "headings")
+    return render.outline(_lines(spark, sf_dir)).select("lifelog_id", "headings")
+
+
+def first_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three headings of every recording."""
+    return render.first_headings(_lines(spark, sf_dir))
+
+
+def nodes_without_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the twenty newest recordings without their headings."""
+    p = Listing(limit=20, include_headings=False)
+    return retrieval.contents_of(retrieval.newest(_logs(spark, sf_dir), 20), _contents(spark, sf_dir), p).select("node_id", "lifelog_id", "kind", "content")
+
+
+def recordings_having(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings of five minutes to an hour that mention a survey."""
+    return retrieval.having(_texts(spark, sf_dir, "start_time", "end_time"), 300, 3600, ("survey",)).select("id", "title")
 
 
 def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.outline(retrieval.nodes(_contents(spark, sf_dir))).select("lifelog_id", "body")
+    return render.outline(_lines(spark, sf_dir)).select("lifelog_id", "body")
 
 
 def render_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.rendered(recordings(spark, sf_dir), include_headings=False).select("id", "text")
+    return render.rendered(_texts(spark, sf_dir, "start_time", "end_time"), include_headings=False).select("id", "text")
 
 
 def render_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outlines = render.outline(retrieval.nodes(_contents(spark, sf_dir)))
-    return render.rendered(recordings(spark, sf_dir), outlines, include_markdown=False).select("id", "text")
+    timed = retrieval.recordings(_logs(spark, sf_dir), ["title", "start_time", "end_time"]).withColumn("markdown", F.lit(None).cast("string"))
+    return render.rendered(timed, render.outline(_lines(spark, sf_dir)), include_markdown=False).select("id", "text")
 
 
 def render_result_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.result_set(render.rendered(_newest(spark, sf_dir, 10), include_headings=False))
+    return render.result_set(render.rendered(_newest(spark, sf_dir, 10), include_headings=False), most=10)
 
 
 def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recordings(spark, sf_dir).select("id", render.shown_title(F.col("title")).alias("title"), render.preview(F.col("markdown")).alias("preview"))
+    short = _logs(spark, sf_dir).withColumn("markdown", render.preview(F.col("markdown")))
+    return retrieval.recordings(short, ["title", "markdown"]).select("id", render.shown_title(F.col("title")).alias("title"), F.coalesce("markdown", F.lit("")).alias("preview"))
 
 
 def resource_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = retrieval.nodes(_contents(spark, sf_dir)).where("parent_node_id is null").groupBy("lifelog_id").agg(F.count(F.lit(1)).alias("content_count"))
-    return resources.rows(recordings(spark, sf_dir), counts)
+    counts = retrieval.nodes(_contents(spark, sf_dir), ["parent_node_id"]).where("parent_node_id is null").groupBy("lifelog_id").agg(F.count(F.lit(1)).alias("content_count"))
+    flagged = _logs(spark, sf_dir).withColumn("has_markdown", F.coalesce(F.col("markdown") != "", F.lit(False)))
+    return resources.rows(retrieval.recordings(flagged, ["title", "start_time", "end_time", "has_markdown"]), counts)
+
+
+def resource_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of every recording's URI, and of what no recording's URI looks like."""
+    logs = retrieval.recordings(_logs(spark, sf_dir), ["start_time"])
+    forms = [F.concat(F.lit(resources.SCHEME), dates.iso_date(F.col("start_time")), F.lit("/"), F.col("id")), F.concat(F.lit(resources.SCHEME), dates.iso_date(F.col("start_time"))), F.concat(F.lit(resources.SCHEME), F.col("id")), F.lit(f"{resources.SCHEME}recent")]
+    return logs.select(F.explode(F.array(*forms)).alias("uri")).distinct().select("uri", resources.parts(F.col("uri")).alias("p")).select("uri", "p.*")
+
+
+def resource_read_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recording whose id sorts first among those of a day, read by its URI."""
+    first = dates.day_bounds(DAY)
+    id = retrieval.beginning(_logs(spark, sf_dir), *first, ["start_time"]).agg(F.min("id")).first()[0]
+    return resources.read(_logs(spark, sf_dir), f"{resources.SCHEME}{DAY}/{id}").select("id", "title", "start_time")
+
+
+def parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The start of every recording in the payloads as written, whether it is a day or a time, and the time it means."""
+    at = F.col("start_time")
+    found = nested.recordings(table(spark, sf_dir, "lifelog_payloads"), "payload_id")
+    return found.select("payload_id", "recording_no", "start_time", dates.valid_date(at).alias("is_day"), dates.valid_date_time(at).alias("is_time"), dates.parsed(at).alias("parsed"))
 
 
 def resource_list_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,15 +235,27 @@ def weekday_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sparse_weekday_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings on the last four Mondays before a day, with the ones that have none."""
-    return rollups.on_days(recordings(spark, sf_dir), "start_time", rollups.last_days(date(2023, 1, 20), 0, 4))
+    days = rollups.last_days(date(2023, 1, 20), 0, 4)
+    between = dates.day_bounds(min(days).isoformat())[0], dates.day_bounds(max(days).isoformat())[1]
+    return rollups.on_days(retrieval.beginning(_logs(spark, sf_dir), *between, ["start_time"]), "start_time", days)
 
 
 def monthly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.monthly(recordings(spark, sf_dir))
+    titled = _logs(spark, sf_dir).withColumn("titled", F.coalesce(F.trim("title") != "", F.lit(False)))
+    return rollups.monthly(retrieval.recordings(titled, ["start_time", "end_time", "titled"]))
 
 
 def speaker_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.speakers(retrieval.nodes(_contents(spark, sf_dir)))
+    counted = _contents(spark, sf_dir).withColumn("chars", F.length("content"))
+    return rollups.speakers(retrieval.nodes(counted, ["kind", "speaker_name", "chars"]))
+
+
+def speaking_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.speaking_time(retrieval.nodes(_contents(spark, sf_dir), ["kind", "speaker_name", "start_time", "end_time"]))
+
+
+def monthly_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.topics(retrieval.recordings(_logs(spark, sf_dir), ["title", "start_time"]))
 
 
 def payload_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,24 +277,32 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings by the fused ranks of relevance and recency."""
-    rows = textops.relevance(recordings(spark, sf_dir), PHRASE).where("score > 0 and start_time is not null")
-    top = lambda *by: textops.numbered(rows.orderBy(*by).limit(NEWEST), list(by)).select("id", F.col("place").alias("rank"))
-    return vectors.fused([top(F.desc("score"), F.desc("start_time"), F.desc("id")), top(F.desc("start_time"), F.desc("id"))])
+    """Recordings by the fused ranks of three searches, of which each gives its 100 best: relevance, recency, and likeness.
+
+    Likeness: a vector belongs to the document of its id, a document to its recording; the recordings of
+    the documents nearest to the first vector.
+    """
+    rows = textops.relevance(_texts(spark, sf_dir, "start_time"), PHRASE).where("score > 0 and start_time is not null")
+    top = lambda df, *by: textops.numbered(df, list(by), NEWEST).select("id", F.col("place").alias("rank"))
+    all_vectors = table(spark, sf_dir, "embeddings")
+    near = vectors.nearest(all_vectors, all_vectors.orderBy("vec_id").limit(1), NEWEST)
+    of = table(spark, sf_dir, "documents").where("lifelog_id is not null").select(F.col("doc_id").alias("vec_id"), F.col("lifelog_id").alias("id")).distinct()
+    alike = near.join(of, "vec_id").groupBy("id").agg(F.min("rank").alias("rank"))
+    return vectors.fused([top(rows, F.desc("score"), F.desc("start_time"), F.desc("id")), top(rows, F.desc("start_time"), F.desc("id")), alike])
 
 
 _ALL = (
     recordings, get_by_id, get_by_ids, list_by_date, list_by_date_zoned, list_by_range, list_recent, page_after_key, keyword_search, search_nested, exclude_terms, filter_by_text_in_range, multi_keyword_distinct,
     phrase_counts, related_keywords, term_frequency, relevance_scores, relevance_top5, dedupe_keep_last, distinct_words, duration_text, display_times, content_count, headings_numbered, transcript, render_text,
     render_outline, render_result_set, previews, resource_rows, resource_list_recent, resource_read_day, weekday_counts, sparse_weekday_spine, monthly_rollup, speaker_stats, payload_errors, payload_states,
-    payload_pages, vector_search, hybrid_ranking,
+    payload_pages, vector_search, hybrid_ranking, first_headings, nodes_without_headings, recordings_having, resource_parts, resource_read_one, parsed_times, speaking_time, monthly_topics,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
 _REC = """
 with rec as (select id, wearer_id, title, markdown, start_time, end_time from (
   select *, row_number() over (partition by id order by received_at desc nulls last) as rn from lifelogs) where rn = 1),
-nodes as (select node_id, lifelog_id, parent_node_id, ordinal, lower(trim(node_type)) as kind, content, speaker_name, speaker_identifier from (
+nodes as (select node_id, lifelog_id, parent_node_id, ordinal, lower(trim(node_type)) as kind, content, speaker_name, speaker_identifier, start_time, end_time from (
   select *, row_number() over (partition by node_id, lifelog_id order by received_at desc nulls last) as rn from lifelog_contents) where rn = 1),
 newest as (select * from rec where start_time is not null order by start_time desc, id desc limit {n}),
 scored as (select *, lower(coalesce(title, '') || ' ' || coalesce(markdown, '')) as txt from rec)
@@ -261,17 +332,18 @@ _LINES = (
     "'ID: ' || id, 'Title: ' || coalesce(nullif(title, ''), 'Untitled'), 'Start Time: ' || " + _SHOWN.format("start_time") + ", 'End Time: ' || " + _SHOWN.format("end_time") + ", 'Duration: ' || " + _duration(_seconds("start_time", "end_time"))
 )
 _OUTLINE = """
-outlines as (select lifelog_id, string_agg(case kind when 'heading1' then chr(10) || '# ' || content when 'heading2' then chr(10) || '## ' || content when 'blockquote' then '> ' || content end, chr(10) order by node_id) as body,
-  (select string_agg('  ' || cast(k as varchar) || '. ' || content, chr(10) order by k) from (
-    select row_number() over (order by node_id) as k, coalesce(content, '') as content from nodes h where h.lifelog_id = o.lifelog_id and kind in ('heading1', 'heading2'))) as headings
-  from (select lifelog_id, node_id, kind, coalesce(content, '') as content from nodes) o group by lifelog_id)
+top_nodes as (select *, coalesce(content, '') as line from nodes where parent_node_id is null),
+outlines as (select lifelog_id, string_agg(case kind when 'heading1' then chr(10) || '# ' || line when 'heading2' then chr(10) || '## ' || line when 'blockquote' then '> ' || line end, chr(10) order by ordinal, node_id) as body,
+  (select string_agg('  ' || cast(k as varchar) || '. ' || line, chr(10) order by k) from (
+    select row_number() over (order by ordinal, node_id) as k, line from top_nodes h where h.lifelog_id = o.lifelog_id and kind in ('heading1', 'heading2'))) as headings
+  from top_nodes o group by lifelog_id)
 """
 _SCORE = f"""(case when contains(txt, '{PHRASE}') then 10 else 0 end + case when contains(lower(coalesce(title, '')), '{PHRASE}') then 20 else 0 end
   + 2 * ({" + ".join(f"(len(txt) - len(replace(txt, '{w}', ''))) // {len(w)}" for w in PHRASE.split())}))"""
 
 
 def _searched(term: str, n: int, more: str = "") -> str:
-    hit = f"id in (select lifelog_id from nodes where contains(lower(content), '{term}'))"
+    hit = f"id in (select lifelog_id from nodes where parent_node_id is null and contains(lower(content), '{term}'))"
     return f"select {_FIELDS} from newest_{n} where {_holds(term, 'title', 'markdown')} or {hit} {more}"
 
 
@@ -306,7 +378,7 @@ select word, place from (select word, min(place) as place, min(place * 100000000
     "dedupe_keep_last": "select id, last.title as title, first_received_at from (select id, max(struct_pack(received_at := received_at, title := title)) as last, min(received_at) as first_received_at from lifelogs group by id)",
     "distinct_words": _sql("select word, count(*) as n_recordings from (select id, unnest(list_distinct(regexp_split_to_array(lower(markdown), '[^a-z]+'))) as word from rec) where length(word) > 5 group by word"),
     "duration_text": _sql(f"select id, {_seconds('start_time', 'end_time')} as seconds, {_duration(_seconds('start_time', 'end_time'))} as duration from rec"),
-    "display_times": _sql("select id, strftime(start_time, '%Y-%m-%d') as day, strftime(start_time, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as iso, " + _SHOWN.format("start_time") + " as shown from rec"),
+    "display_times": _sql("select id, strftime(start_time, '%Y-%m-%d') as day, strftime(start_time, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as iso, " + _SHOWN.format("start_time") + " as shown, strftime(start_time - interval 5 hours, '%b %-d, %Y, %I:%M %p') || ' EST' as shown_local from rec"),
     "content_count": _sql("select lifelog_id, count(*) filter (parent_node_id is null) as n_top, count(*) as n_all from nodes group by lifelog_id"),
     "headings_numbered": _sql("," + _OUTLINE + "select lifelog_id, coalesce(headings, '') as headings from outlines"),
     "transcript": _sql("," + _OUTLINE + "select lifelog_id, coalesce(body, '') as body from outlines"),
@@ -339,7 +411,34 @@ select *, row_number() over (partition by query_id order by score desc, vec_id)
     "hybrid_ranking": _sql(
         f""", hits as (select *, {_SCORE} as score from scored where {_SCORE} > 0 and start_time is not null),
 ranks as (select id, rank from (select id, row_number() over (order by score desc, start_time desc, id desc) as rank from hits) where rank <= {NEWEST}
-  union all select id, rank from (select id, row_number() over (order by start_time desc, id desc) as rank from hits) where rank <= {NEWEST})
+  union all select id, rank from (select id, row_number() over (order by start_time desc, id desc) as rank from hits) where rank <= {NEWEST}
+  union all select lifelog_id, min(rank) from (
+    select v.vec_id, row_number() over (order by round(list_cosine_similarity(cast(v.embedding as double[]), cast(q.embedding as double[])), 6) desc, v.vec_id) as rank
+    from embeddings v, (select * from embeddings order by vec_id limit 1) q where v.vec_id <> q.vec_id)
+    join documents on doc_id = vec_id where rank <= {NEWEST} and lifelog_id is not null group by lifelog_id)
 select id, round(sum(1.0 / cast(60 + rank as double)), 9) as score from ranks group by id"""
     ),
+    "first_headings": _sql("select lifelog_id, string_agg(line, chr(10) order by k) as headings from (select lifelog_id, coalesce(content, '') as line, row_number() over (partition by lifelog_id order by ordinal, node_id) as k from nodes where parent_node_id is null and kind in ('heading1', 'heading2')) where k <= 3 group by lifelog_id"),
+    "nodes_without_headings": _sql("select node_id, lifelog_id, kind, content from nodes where lifelog_id in (select id from newest) and (kind is null or not starts_with(kind, 'heading'))", 20),
+    "recordings_having": _sql(f"select id, title from rec where {_seconds('start_time', 'end_time')} between 300 and 3600 and {_holds('survey', 'title', 'markdown')}"),
+    "resource_parts": _sql(
+        """, uris as (select distinct unnest(['lifelog://' || strftime(start_time, '%Y-%m-%d') || '/' || id, 'lifelog://' || strftime(start_time, '%Y-%m-%d'), 'lifelog://' || id, 'lifelog://recent']) as uri from rec),
+cut as (select uri, nullif(regexp_extract(uri, '^lifelog://([0-9]{4}-[0-9]{2}-[0-9]{2})(/.+)?$', 1), '') as date, nullif(regexp_extract(uri, '^lifelog://[0-9]{4}-[0-9]{2}-[0-9]{2}/(.+)$', 1), '') as id from uris)
+select uri, coalesce(uri in ('lifelog://', 'lifelog://recent'), false) or date is not null as valid, coalesce(uri = 'lifelog://recent', false) as recent, date, id from cut"""
+    ),
+    "resource_read_one": _sql(f"select id, title, start_time from rec where id = (select min(id) from rec where cast(start_time as date) = date '{DAY}')"),
+    "parsed_times": NODE_TREE
+    + r"""
+, written as (select payload_id, cast(recording_no as int) as recording_no, r->>'$.startTime' as start_time from recordings)
+select payload_id, recording_no, start_time, coalesce(regexp_full_match(start_time, '\d{4}-\d{2}-\d{2}') and try_cast(start_time as date) is not null, false) as is_day,
+  coalesce(regexp_full_match(start_time, '\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2}|T\d{2}:\d{2}:\d{2}([.]\d{1,3})?Z?)') and try_cast(replace(replace(start_time, 'T', ' '), 'Z', '') as timestamp) is not null, false) as is_time,
+  case when regexp_full_match(start_time, '\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}([.]\d{1,6})?(Z|[+-]\d{2}:\d{2})?)?') then
+    try_cast(replace(substr(start_time, 1, 10 + length(regexp_extract(start_time, '[ T][0-9:.]+'))), 'T', ' ') as timestamp)
+    - to_minutes(coalesce(try_cast(nullif(regexp_extract(start_time, '([+-]\d{2}):\d{2}$', 1), '') as bigint) * 60
+      + case when regexp_matches(start_time, '-\d{2}:\d{2}$') then -1 else 1 end * try_cast(nullif(regexp_extract(start_time, '[+-]\d{2}:(\d{2})$', 1), '') as bigint), 0)) end as parsed from written""",
+    "speaking_time": _sql(
+        f"""select cast(date_trunc('month', start_time) as date) as month, speaker, count(*) as n_utterances, cast(coalesce(sum(greatest({_seconds('start_time', 'end_time')}, 0)), 0) as bigint) as seconds
+from (select *, nullif(lower(trim(speaker_name)), '') as speaker from nodes where kind = 'blockquote') where speaker is not null and start_time is not null group by 1, 2"""
+    ),
+    "monthly_topics": _sql("select month, word, count(*) as n from (select cast(date_trunc('month', start_time) as date) as month, unnest(list_distinct(regexp_split_to_array(lower(title), '[^a-z]+'))) as word from rec where start_time is not null) where length(word) >= 6 group by 1, 2"),
 }

@@ -31,4 +31,3 @@ NODE = T.StructType(
         T.StructField("received_at", T.TimestampNTZType()),
     ]
 )
-EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])

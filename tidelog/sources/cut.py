@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from the shared checkpoint folder; a lost executor loses nothing.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset, as
-    in a local test, is a temporary one taken.
+    The folder is the one the session names in ``spark.checkpoint.dir``; where that is unset, a local
+    session takes a temporary one, and on a cluster it is an error, since no machine's own folder serves.
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes the files of plans that are gone.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()

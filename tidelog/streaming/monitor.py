@@ -18,13 +18,14 @@ def arriving(spark: SparkSession, path: str, schema: StructType, files_at_once:
 
 
 def watched(stream: DataFrame, terms: list[str], key: str = "id", at: str = "received_at", lateness: str = "1 day") -> DataFrame:
-    """(key, at, term): each term in title or markdown of new rows; repeated deliveries inside the watermark are left out.
+    """(key, at, term): each term in title or markdown of a row, once a key inside the watermark.
 
-    The state holds keys for ``lateness`` only, so it doesn't grow with the stream.
+    A term that only a later, more complete delivery has comes out with that. The state holds pairs of
+    key and term for ``lateness`` only, so it doesn't grow with the stream.
     """
-    new = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, lateness).dropDuplicatesWithinWatermark([key])
+    timed = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, lateness)
     found = F.array_compact(F.array(*[F.when(holds(t, "title", "markdown"), F.lit(t)) for t in terms]))
-    return new.select(key, at, F.explode(found).alias("term"))
+    return timed.select(key, at, F.explode(found).alias("term")).dropDuplicatesWithinWatermark([key, "term"])
 
 
 def by_window(stream: DataFrame, at: str = "received_at", width: str = "1 hour", lateness: str = "1 day") -> DataFrame:
