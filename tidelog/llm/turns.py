@@ -63,14 +63,12 @@ _NOTES = re.compile(r"♪(?:\s?♪)*")
 _HESITATION = r"(?:u++h*+m++|u++h++|e++r++m*+|h++m++|m++h++m++|mm++)"
 _FILLER = r"(?:well|like|you know|i mean)"
 _NEXT = re.compile(
-    rf"(?P<time>{_STAMP})|(?P<hesitation>(?:(?<![,—-])\s?[,—-]++)?\s?\b{_HESITATION}\b(?:\s?(?:\.{{3}}|…|—|,))?)"
-    rf"|(?P<filler>—\s?(?:well|like|you know|i mean|so|okay)\s?—|(?:^|(?<=,)|(?<=\s))\s?{_FILLER}\s?(?:\.{{3}}|…)|,\s?{_FILLER}\s?,)|(?P<restart>\b(\w++)-\s(?=\5\b))",
-    re.I,
+    rf"(?=[\[(<\d])(?P<time>{_STAMP})|\b(?:(?=[uehmUEHM])(?P<hesitation>{_HESITATION})\b(?:\s?(?:\.{{3}}|…|—|,))?|(?P<filler>well|like|you know|i mean|so|okay)\b(?=\s?(?:\.\.\.|[…,—]))|(?P<restart>(\w++)-\s(?=\5\b)))", re.I
 )
+_SET_OFF = re.compile(r"\s?(\.{3}|…|,|—)")
 _OPENING = re.compile(rf"\s?{_FILLER}\s?,", re.I)
 _SAID = re.compile(r"[^\W_]")
 _SPACE = re.compile(r"\s+")
-_UNEVEN = re.compile(r"\s\s|[^\S ]")
 
 
 class Node(NamedTuple):
@@ -119,14 +117,14 @@ def _label(s: str, at: int) -> Node | None:
     if m := _LABEL.match(s, at):
         number = m.group(1) or m.group(2)
         return Node("label", at, m.end(), names=f"speaker {int(number)}" if number else m.group(3))
-    if (m := _NAMED.match(s, at)) and (words := m.group(1).split()) and words[0].lower().rstrip(".") not in OPENERS and all(w[0].isupper() for w in words):
+    if ":" in s and (m := _NAMED.match(s, at)) and (words := m.group(1).split()) and words[0].lower().rstrip(".") not in OPENERS and all(w[0].isupper() for w in words):
         return Node("named", at, m.end(), names=m.group(1))
     return None
 
 
 def parse(content: str) -> tuple[str, Node]:
     """The utterance with single blanks, and its tree: an utterance node with all parts in order."""
-    s = _SPACE.sub(" ", content) if _UNEVEN.search(content) else content
+    s = _SPACE.sub(" ", content) if "  " in content or not content.isprintable() else content
     table = _annotations(s) if _OPEN.search(s) else {}
     parts: list[Node] = []
     at, n, labelled = 0, len(s), False
@@ -146,7 +144,7 @@ def parse(content: str) -> tuple[str, Node]:
         at = node.end
     sounds = [k for k in sorted(table, reverse=True) if k >= at]
     said = False
-    m = _NEXT.search(s, at)
+    node = _following(s, at)
     while at < n:
         if not said and (opening := _OPENING.match(s, at)):
             parts.append(Node("filler", at, opening.end()))
@@ -155,21 +153,55 @@ def parse(content: str) -> tuple[str, Node]:
             continue
         while sounds and (sounds[-1] < at or not _is_sound(s, table[sounds[-1]])):
             sounds.pop()
-        if m and m.start() < at:
-            m = _NEXT.search(s, at)
-        k = min(m.start() if m else n, sounds[-1] if sounds else n)
+        if node and node.begin < at:
+            node = _following(s, at)
+        k = min(node.begin if node else n, sounds[-1] if sounds else n)
         if k > at:
             parts.append(Node("words", at, k))
             said = said or _SAID.search(s, at, k) is not None
+            at = k
         if k < n:
-            node = Node(m.lastgroup, k, m.end()) if m and k == m.start() else table[k]._replace(rule="sound")
-            if node.rule == "restart":
-                said = True
-            parts.append(node)
-        at = max(k, node.end if k < n else n)
+            part = node if node and k == node.begin else table[k]._replace(rule="sound")
+            said = said or part.rule == "restart"
+            parts.append(part)
+            at = part.end
     return s, Node("utterance", 0, n, tuple(parts))
 
 
+def _filler(s: str, at: int, m: re.Match) -> tuple[int, int] | None:
+    """A filler word that stands between two commas or dashes, or before dots; from ``at`` on."""
+    sign, begin = _SET_OFF.match(s, m.end()), m.start()
+    mark = sign.group(1)
+    before = begin - (begin > at and s[begin - 1] == " ")
+    if mark in (",", "—"):
+        if before > at and s[before - 1] == mark and (mark == "—" or m.group().lower() not in ("so", "okay")):
+            return before - 1, sign.end()
+    elif m.group().lower() not in ("so", "okay") and (begin == 0 or s[begin - 1] in ", "):
+        return before, sign.end()
+    return None
+
+
+def _following(s: str, at: int) -> Node | None:
+    """The next part of the speech from ``at`` on that is neither words nor a sound."""
+    look = at
+    while m := _NEXT.search(s, look):
+        rule, begin, end = m.lastgroup, m.start(), m.end()
+        if rule == "filler":
+            if not (found := _filler(s, at, m)):
+                look = end
+                continue
+            begin, end = found
+        elif rule == "hesitation":  # with a blank, a comma or dashes before it
+            begin -= begin > at and s[begin - 1] == " "
+            signs = begin
+            while signs > at and s[signs - 1] in ",—-":
+                signs -= 1
+            if signs < begin:
+                begin = signs - (signs > at and s[signs - 1] == " ")
+        return Node(rule, begin, end)
+    return None
+
+
 def label_of(tree: Node) -> Node | None:
     """The label that stands in the utterance."""
     return next((x for x in tree.inside if x.rule in ("label", "named")), None)
