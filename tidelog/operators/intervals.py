@@ -63,7 +63,8 @@ def _stitched(df: DataFrame, key: str, start: str, end: str, width: int) -> Data
         .where(~F.col("whole"))
         .select("k", "shard", "cover", "runs_to")
     )
-    starts = local.where("s is not null and (reach is null or s > reach)").select("k", "shard", "s", "reach")
+    # A span's row has no start. The test names the span so that both uses of the pieces need the same columns and share one shuffle.
+    starts = local.where("span is null and (reach is null or s > reach)").select("k", "shard", "s", "reach")
     before = F.coalesce("reach", "cover")
     return starts.join(shards, ["k", "shard"]).select("k", "shard", "s", before.alias("before"), "reach", "runs_to").where("before is null or s > before")
 
