@@ -299,12 +299,14 @@ def linked(names: DataFrame, name: str = "speaker_name") -> DataFrame:
     """
     spelled = names.select(F.col(name).alias("name")).where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     forms = cut(spelled.mapInArrow(_forms, "name string, n bigint, form string").where("form is not null"))
-    counts = cut(forms.groupBy("form").agg(F.sum("n").alias("n")))
+    # A form becomes a hundred keys: so few bytes that they would lie in one partition are spread before that.
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = cut(forms.groupBy("form").agg(F.sum("n").alias("n")).repartition(parts, "form"))
     keyed = counts.mapInArrow(_keyed, "form string, n bigint, candidate boolean, key string")
     v, c = keyed.where("not candidate").alias("v"), keyed.where("candidate").alias("c")
     # Only to a form of more uses, or of as many and sorting first; forms that are no whole names, or lack a middle name, go to any.
-    parts = lambda x: F.size(F.split(F.col(f"{x}.form"), r"\|"))
-    ahead = (F.col("v.form") != F.col("c.form")) & (F.expr("left(v.form, 2) in ('i|', 'j|')") | (parts("v") < parts("c")) | ((parts("v") == parts("c")) & F.expr("c.n > v.n or c.n = v.n and c.form < v.form")))
+    words = lambda x: F.size(F.split(F.col(f"{x}.form"), r"\|"))
+    ahead = (F.col("v.form") != F.col("c.form")) & (F.expr("left(v.form, 2) in ('i|', 'j|')") | (words("v") < words("c")) | ((words("v") == words("c")) & F.expr("c.n > v.n or c.n = v.n and c.form < v.form")))
     pairs = v.join(c, F.col("v.key") == F.col("c.key")).where(ahead).select(F.col("v.form").alias("form"), F.col("c.form").alias("parent"), F.col("v.n").alias("n"), F.col("c.n").alias("parent_n")).distinct()
     best = _attached(counts, pairs.mapInArrow(_scored, _SCORED_DDL))
     links = cut(counts.select("form").join(best, "form", "left").select("form", F.coalesce("parent", "form").alias("parent")))
