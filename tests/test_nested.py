@@ -62,7 +62,14 @@ def test_against_walk(spark):
     assert sum(r.n_nodes for r in nested.recordings(df, "payload_id").collect()) == len(want)
     assert [(r.payload_id, r.message, r.code) for r in envelopes.errors(df, "payload_id").collect()] == [(904, "no", "RATE")]
     states = {r.state: r.n for r in envelopes.readable(df).collect()}
-    assert states["null"] == states["empty"] == states["invalid"] == 1
+    assert states["null"] == states["empty"] == states["invalid"] == states["error"] == states["unknown"] == 1
+
+
+def test_unknown_answers(spark):
+    bodies = ['{"rows": [], "at": 3}', "3", '"text"', "{}", "[]", '{"data": null}', '{"error": {}}', '{"contents": []}', "{", "", None]
+    df = spark.createDataFrame([(k, b, "p", 1, "v") for k, b in enumerate(bodies)], DDL)
+    assert {r.payload_id: r.found for r in envelopes.unknown(df, "payload_id").collect()} == {0: "at,rows", 1: None, 2: None, 3: ""}
+    assert {r.state: r.n for r in envelopes.readable(df).collect()} == {"unknown": 4, "data": 3, "error": 1, "invalid": 1, "empty": 1, "null": 1}
 
 
 def test_empty(spark):

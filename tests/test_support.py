@@ -106,6 +106,18 @@ def test_stream(spark, tmp_path):
     assert sorted(seen) == sorted((r[0], "budget") for r in rows if "budget" in f"{r[2]} {r[3]}".lower())
 
 
+def test_replayed(spark, tmp_path):
+    """A table as one file or a folder of files, with new rows in some, and an empty one."""
+    df = spark.createDataFrame(recordings(spark, 12), RECORDING)
+    df.repartition(3).write.parquet(str(tmp_path / "lifelogs.parquet"))
+    df.limit(0).write.parquet(str(tmp_path / "empty.parquet"))
+    stream = lambda name: monitor.watched(monitor.table_arriving(spark, str(tmp_path), name, RECORDING), ["budget"], lateness="3650 days")
+    assert sorted(r.id for r in monitor.replayed(stream("lifelogs")).collect()) == sorted(r.id for r in df.collect() if "budget" in f"{r.title} {r.markdown}".lower())
+    assert monitor.replayed(stream("empty")).count() == 0
+    counted = monitor.replayed(monitor.by_window(monitor.table_arriving(spark, str(tmp_path), "lifelogs", RECORDING), width="4 hours"), "complete")
+    assert [r.n for r in counted.orderBy("start").collect()] == [4, 4, 4]
+
+
 def test_stream_windows(spark, tmp_path):
     rows = [*recordings(spark, 12), ("late", 1, None, None, T0, None, T0 + timedelta(days=9))]
     spark.createDataFrame(rows, RECORDING).coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.retrieval import holds
 
+#: White space of any script, between words.
+BLANKS = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+
 
 def full_text(title: str = "title", markdown: str = "markdown") -> Column:
     """Title and markdown in lower case with a blank between; a missing part counts as empty."""
@@ -46,9 +49,9 @@ def phrase_counts(df: DataFrame, phrases: list[str], most: int | None = None) ->
 def related_words(df: DataFrame, topic: str, most: int = 10) -> DataFrame:
     """(word, place): the first ``most`` words of over five letters that don't contain the topic, in order of first use.
 
-    ``df`` has ``place``, the order of its rows; words are cut at white space, as they stand.
+    ``df`` has ``place``, the order of its rows; words are cut at white space of any script, as they stand.
     """
-    words = df.select("place", F.posexplode(F.split(F.lower(F.coalesce("markdown", F.lit(""))), r"\s+")).alias("at", "word"))
+    words = df.select("place", F.posexplode(F.split(F.lower(F.coalesce("markdown", F.lit(""))), BLANKS)).alias("at", "word"))
     kept = words.where((F.length("word") > 5) & ~F.contains(F.col("word"), F.lit(topic.lower())))
     first = kept.groupBy("word").agg(F.min(F.struct("place", "at")).alias("first"))
     return first.orderBy("first", "word").limit(most).select("word", F.col("first.place").alias("place"))

@@ -7,11 +7,13 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog import schema
 from tidelog.functions import dates
 from tidelog.operators import nested, render, resources, retrieval, rollups, textops, vectors
 from tidelog.params import ByDate, ById, ByRange, Listing, Search
 from tidelog.plans.problems import NODE_TREE
 from tidelog.sources import envelopes, table
+from tidelog.streaming import monitor
 
 DAY, ZONE, PHRASE = "2023-01-09", "America/New_York", "the plan for"
 NEWEST = 100
@@ -266,10 +268,26 @@ def payload_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return envelopes.readable(table(spark, sf_dir, "lifelog_payloads"))
 
 
+def payload_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return envelopes.unknown(table(spark, sf_dir, "lifelog_payloads"), "payload_id")
+
+
 def payload_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return envelopes.paging(table(spark, sf_dir, "lifelog_payloads"), "payload_id")
 
 
+def keyword_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deliveries of recordings as a stream, watched for two terms to its end; files come in any order, so nothing counts as late."""
+    stream = monitor.table_arriving(spark, sf_dir, "lifelogs", schema.RECORDING)
+    return monitor.replayed(monitor.watched(stream, ["Survey", "insurance"], lateness="3650 days")).select("id", "term").distinct()
+
+
+def arrivals_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries of recordings by the hour they came, counted as a stream."""
+    stream = monitor.table_arriving(spark, sf_dir, "lifelogs", schema.RECORDING)
+    return monitor.replayed(monitor.by_window(stream, lateness="3650 days"), "complete").select(F.to_timestamp_ntz(F.date_format("start", "yyyy-MM-dd HH:mm:ss")).alias("hour"), "n")
+
+
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of each whose id is divisible by 100."""
     all_vectors = table(spark, sf_dir, "embeddings")
@@ -295,7 +313,7 @@ _ALL = (
     recordings, get_by_id, get_by_ids, list_by_date, list_by_date_zoned, list_by_range, list_recent, page_after_key, keyword_search, search_nested, exclude_terms, filter_by_text_in_range, multi_keyword_distinct,
     phrase_counts, related_keywords, term_frequency, relevance_scores, relevance_top5, dedupe_keep_last, distinct_words, duration_text, display_times, content_count, headings_numbered, transcript, render_text,
     render_outline, render_result_set, previews, resource_rows, resource_list_recent, resource_read_day, weekday_counts, sparse_weekday_spine, monthly_rollup, speaker_stats, payload_errors, payload_states,
-    payload_pages, vector_search, hybrid_ranking, first_headings, nodes_without_headings, recordings_having, resource_parts, resource_read_one, parsed_times, speaking_time, monthly_topics,
+    payload_pages, vector_search, hybrid_ranking, first_headings, nodes_without_headings, recordings_having, resource_parts, resource_read_one, parsed_times, speaking_time, monthly_topics, payload_unknown, keyword_watch, arrivals_by_hour,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -368,7 +386,7 @@ SQL = {
     "phrase_counts": _sql("select phrase, (select count(*) from rec where coalesce(contains(lower(title), phrase), false) or coalesce(contains(lower(markdown), phrase), false)) as n from (values ('the plan for'), ('next point is'), ('50% off'), ('never said')) t(phrase)"),
     "related_keywords": _sql(
         f""", placed as (select *, row_number() over (order by start_time desc, id desc) as place from newest where {_holds("plan", "title", "markdown")}),
-words as (select place, unnest(ws) as word, generate_subscripts(ws, 1) as pos from (select place, regexp_split_to_array(lower(coalesce(markdown, '')), '\\s+') as ws from placed))
+words as (select place, unnest(ws) as word, generate_subscripts(ws, 1) as pos from (select place, regexp_split_to_array(lower(coalesce(markdown, '')), '{textops.BLANKS}') as ws from placed))
 select word, place from (select word, min(place) as place, min(place * 100000000 + pos) as first_use from words where length(word) > 5 and not contains(word, 'plan') group by word) order by first_use, word limit 10""",
         30,
     ),
@@ -402,7 +420,11 @@ id, start_time, end_time, markdown is not null and markdown <> '' as has_markdow
     "monthly_rollup": _sql(f"select cast(date_trunc('month', start_time) as date) as month, count(*) as n, count(*) filter (trim(title) <> '') as n_titled, cast(coalesce(sum(case when {_seconds('start_time', 'end_time')} > 0 then {_seconds('start_time', 'end_time')} else 0 end), 0) as bigint) as total_seconds from rec where start_time is not null group by 1"),
     "speaker_stats": _sql("select speaker_name, count(*) as n_utterances, count(distinct lifelog_id) as n_recordings, cast(coalesce(sum(length(content)), 0) as bigint) as n_chars from nodes where kind = 'blockquote' and speaker_name is not null group by speaker_name"),
     "payload_errors": "select payload_id, j->>'$.error.message' as message, j->>'$.error.code' as code from (select payload_id, cast(body as json) as j from lifelog_payloads where body is not null and json_valid(body)) where json_exists(j, '$.error.message') or json_exists(j, '$.error.code')",
-    "payload_states": "select case when body is null then 'null' when trim(body) = '' then 'empty' when not json_valid(body) then 'invalid' when json_exists(body, '$.data') then 'data' else 'error' end as state, count(*) as n from lifelog_payloads group by 1",
+    "payload_states": "select case when body is null then 'null' when trim(body) = '' then 'empty' when not json_valid(body) then 'invalid' when json_type(body) = 'ARRAY' or json_exists(body, '$.data') or json_exists(body, '$.lifelogs') or json_exists(body, '$.lifelog') or json_exists(body, '$.contents') then 'data' when json_exists(body, '$.error') then 'error' else 'unknown' end as state, count(*) as n from lifelog_payloads group by 1",
+    "payload_unknown": """select payload_id, array_to_string(list_sort(json_keys(body)), ',') as found from lifelog_payloads where body is not null and json_valid(body) and json_type(body) <> 'ARRAY'
+and not (json_exists(body, '$.data') or json_exists(body, '$.lifelogs') or json_exists(body, '$.lifelog') or json_exists(body, '$.contents') or json_exists(body, '$.error'))""",
+    "keyword_watch": "select distinct id, term from lifelogs, (values ('Survey'), ('insurance')) t(term) where coalesce(contains(lower(title), lower(term)), false) or coalesce(contains(lower(markdown), lower(term)), false)",
+    "arrivals_by_hour": "select date_trunc('hour', received_at) as hour, count(*) as n from lifelogs where received_at is not null group by 1",
     "payload_pages": """select payload_id, c as next_cursor, coalesce(h, c is not null) as has_more from (
 select payload_id, coalesce(body->>'$.pagination.nextCursor', body->>'$.meta.lifelogs.nextCursor') as c, try_cast(body->>'$.pagination.hasMore' as boolean) as h from lifelog_payloads where body is not null and json_valid(body))""",
     "vector_search": """select query_id, vec_id, score, rank from (
