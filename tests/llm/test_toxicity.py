@@ -44,6 +44,9 @@ def test_held_out(corpus):
     rates = {r.source: r for r in toxicity.rates(docs, models).collect()}
     assert set(rates) == {"chat_log", None} and sum(r.n_docs for r in rates.values()) == 604
     assert all(r.rate == pytest.approx(r.n_found / r.n_docs) for r in rates.values())
+    source = {r.doc_id: "chat_log" if r.source and r.source.strip() else None for r in docs.collect()}
+    flags = [(source[r.doc_id], r.found) for r in scores.collect()]
+    assert {s: (r.n_docs, r.n_found) for s, r in rates.items()} == {s: (sum(x == s for x, _ in flags), sum(x == s and f for x, f in flags)) for s in rates}
 
 
 def test_no_reviews(spark, corpus):
