@@ -168,6 +168,16 @@ def test_headings(spark):
     assert count() == 6 and count(include_headings=False) == 1
 
 
+def test_reading_order(spark):
+    """A deep tree in any order of rows; circles and nodes without their parent are left out."""
+    deep = [(100 + k, "b", "blockquote", str(k), 99 + k if k else None, 0) for k in range(21)]
+    rows = [(5, "a", "heading1", "one", None, 1), (9, "a", "heading1", "zero", None, 0), (2, "a", "blockquote", "said", 5, 1), (7, "a", "heading2", "two", 5, 0), (1, "a", "blockquote", "inner", 7, None), (3, "a", "text", "no line", 9, 0)]
+    odd = [(50, "a", "blockquote", "lost", 49, 0), (60, "a", "blockquote", "x", 61, 0), (61, "a", "blockquote", "y", 60, 0)]
+    got = {r.lifelog_id: r.body for r in render.transcript(retrieval.nodes(nodes(spark, [*deep[::-1], *rows, *odd]))).collect()}
+    assert got == {"a": "\n# zero\n\n# one\n\n## two\n> inner\n> said", "b": "\n".join(f"> {k}" for k in range(21))}
+    assert render.transcript(retrieval.nodes(nodes(spark, []))).count() == render.transcript(retrieval.nodes(nodes(spark, odd[1:]))).count() == 0
+
+
 def test_having(spark):
     df = logs(spark, [("a", "Roof", "leak", T0, T0 + timedelta(minutes=5)), ("b", "roof LEAK", None, T0, None), ("c", "roof", None, T0, T0 + timedelta(hours=2))])
     assert ids(retrieval.having(df, words=("roof", "leak"))) == ["a", "b"]

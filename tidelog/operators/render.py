@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.dates import display, duration_text, seconds_between
 from tidelog.params import MOST, count
+from tidelog.sources import cut
 
 RULE = "\n---\n\n"
 
@@ -22,13 +23,40 @@ def outline(nodes: DataFrame) -> DataFrame:
     is not shown. A row holds one recording's lines, as the recording itself does. Unknown kinds have no line.
     """
     text = F.coalesce(F.col("content"), F.lit(""))
-    line = F.when(F.col("kind") == "heading1", F.concat(F.lit("\n# "), text)).when(F.col("kind") == "heading2", F.concat(F.lit("\n## "), text)).when(F.col("kind") == "blockquote", F.concat(F.lit("> "), text))
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "node_id", "kind", text.alias("content"), line.alias("line"))))
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "node_id", "kind", text.alias("content"), _line().alias("line"))))
     rows = nodes.where("parent_node_id is null").groupBy("lifelog_id").agg(ordered.alias("n"))
     heads = F.transform(F.filter("n", _is_heading), lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x["content"]))
     return rows.select("lifelog_id", F.array_join(heads, "\n").alias("headings"), F.array_join(F.transform("n", lambda x: x["line"]), "\n").alias("body"))
 
 
+def in_order(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``path``, which sorts a recording's nodes as they are read: each before what is nested in it, siblings by ordinal, then node id.
+
+    ``path`` holds (ordinal, node_id) from the top down. Pointer doubling: each round joins a node to the
+    farthest ancestor known so far and takes over its path and its own farthest, so a depth of d takes
+    log2(d) rounds of one join each. Nodes whose parent is not among ``nodes``, or that are their own
+    ancestors, are left out.
+    """
+    step = F.array(F.struct(F.coalesce("ordinal", F.lit(0)).alias("ordinal"), "node_id"))
+    ways = cut(nodes.select("lifelog_id", "node_id", F.col("parent_node_id").alias("above"), step.alias("path")))
+    while not ways.where("above is not null").isEmpty():
+        upper = ways.select("lifelog_id", F.col("node_id").alias("above"), F.col("above").alias("higher"), F.col("path").alias("upper"))
+        risen = ways.where("above is not null").join(upper, ["lifelog_id", "above"]).where("not exists(upper, x -> x.node_id = node_id)")  # in no circle
+        ways = cut(ways.where("above is null").unionByName(risen.select("lifelog_id", "node_id", F.col("higher").alias("above"), F.concat("upper", "path").alias("path"))))
+    return nodes.join(ways.where("above is null").drop("above"), ["lifelog_id", "node_id"])
+
+
+def transcript(nodes: DataFrame) -> DataFrame:
+    """(lifelog_id, body): the lines of all nodes of every level, in reading order; one recording's lines in a row."""
+    lines = F.array_sort(F.collect_list(F.struct("path", _line().alias("line"))))
+    return in_order(nodes).groupBy("lifelog_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("body"))
+
+
+def _line() -> Column:
+    text = F.coalesce(F.col("content"), F.lit(""))
+    return F.when(F.col("kind") == "heading1", F.concat(F.lit("\n# "), text)).when(F.col("kind") == "heading2", F.concat(F.lit("\n## "), text)).when(F.col("kind") == "blockquote", F.concat(F.lit("> "), text))
+
+
 def _is_heading(node: Column) -> Column:
     return node["kind"].isin("heading1", "heading2")
 

@@ -178,6 +178,11 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.outline(_lines(spark, sf_dir)).select("lifelog_id", "body")
 
 
+def whole_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every recording's nodes of all levels in reading order."""
+    return render.transcript(_lines(spark, sf_dir))
+
+
 def render_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.rendered(_texts(spark, sf_dir, "start_time", "end_time"), include_headings=False).select("id", "text")
 
@@ -313,7 +318,7 @@ _ALL = (
     recordings, get_by_id, get_by_ids, list_by_date, list_by_date_zoned, list_by_range, list_recent, page_after_key, keyword_search, search_nested, exclude_terms, filter_by_text_in_range, multi_keyword_distinct,
     phrase_counts, related_keywords, term_frequency, relevance_scores, relevance_top5, dedupe_keep_last, distinct_words, duration_text, display_times, content_count, headings_numbered, transcript, render_text,
     render_outline, render_result_set, previews, resource_rows, resource_list_recent, resource_read_day, weekday_counts, sparse_weekday_spine, monthly_rollup, speaker_stats, payload_errors, payload_states,
-    payload_pages, vector_search, hybrid_ranking, first_headings, nodes_without_headings, recordings_having, resource_parts, resource_read_one, parsed_times, speaking_time, monthly_topics, payload_unknown, keyword_watch, arrivals_by_hour,
+    payload_pages, vector_search, hybrid_ranking, first_headings, nodes_without_headings, recordings_having, resource_parts, resource_read_one, parsed_times, speaking_time, monthly_topics, payload_unknown, keyword_watch, arrivals_by_hour, whole_transcript,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -400,6 +405,13 @@ select word, place from (select word, min(place) as place, min(place * 100000000
     "content_count": _sql("select lifelog_id, count(*) filter (parent_node_id is null) as n_top, count(*) as n_all from nodes group by lifelog_id"),
     "headings_numbered": _sql("," + _OUTLINE + "select lifelog_id, coalesce(headings, '') as headings from outlines"),
     "transcript": _sql("," + _OUTLINE + "select lifelog_id, coalesce(body, '') as body from outlines"),
+    "whole_transcript": _sql("").replace("with rec", "with recursive rec", 1)
+    + """, tree as (
+  select lifelog_id, node_id, kind, content, [struct_pack(o := coalesce(ordinal, 0), i := node_id)] as path from nodes where parent_node_id is null
+  union all
+  select n.lifelog_id, n.node_id, n.kind, n.content, list_append(t.path, struct_pack(o := coalesce(n.ordinal, 0), i := n.node_id)) from tree t join nodes n on n.lifelog_id = t.lifelog_id and n.parent_node_id = t.node_id)
+select lifelog_id, coalesce(string_agg(case kind when 'heading1' then chr(10) || '# ' || coalesce(content, '') when 'heading2' then chr(10) || '## ' || coalesce(content, '') when 'blockquote' then '> ' || coalesce(content, '') end, chr(10) order by path), '') as body
+from tree group by lifelog_id""",
     "render_text": _sql(f"select id, concat_ws(chr(10), {_LINES}, chr(10) || 'Content:' || chr(10) || nullif(markdown, '')) as text from rec"),
     "render_outline": _sql(f",{_OUTLINE} select id, concat_ws(chr(10), {_LINES}, chr(10) || 'Headings:' || chr(10) || headings, chr(10) || 'Content:' || chr(10) || body) as text from rec left join outlines on lifelog_id = id"),
     "render_result_set": _sql(
