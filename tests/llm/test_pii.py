@@ -30,6 +30,7 @@ CASES = [
     ("İİ then Bob Holokar", [("person_name", "Bob Holokar")]),
     ("account 12345678901, acct no. 20-00-00 55779911", [("account_number", "12345678901"), ("account_number", "20-00-00 55779911")]),
     ("pay DE89 3704 0044 0532 0130 00 or GB29NWBK60161331926819", [("account_number", "DE89 3704 0044 0532 0130 00"), ("account_number", "GB29NWBK60161331926819")]),
+    ("the account manager at 12085550175, sort code is 20-00-00", [("phone", "12085550175"), ("account_number", "20-00-00")]),
     ("it was 4111 1111 1111 1111 then", [("account_number", "4111 1111 1111 1111")]),
     ("tel:5550171 and mailto:rosa.k@a.test", [("email", "rosa.k@a.test"), ("phone", "5550171")]),
     ("Anneliese Kowalski called, my name is Wanda Orlik", [("person_name", "Anneliese Kowalski"), ("person_name", "Wanda Orlik")]),

@@ -65,7 +65,7 @@ _BY_CUE = {
     "passport": re.compile(rf"[^\d\n]{{0,{CUE_REACH}}}?(?<![\w-])([A-Za-z]{{1,2}}\d{{6,8}}|\d{{9}})(?!\w)"),
     "ni": re.compile(rf"[^\d\n]{{0,{CUE_REACH}}}?(?<![\w-])([A-Za-z]{{2}} ?\d{{2}} ?\d{{2}} ?\d{{2}} ?[A-Da-d])(?!\w)"),
 }
-_ACCOUNT = re.compile(rf"[^\d\n]{{0,{CUE_REACH}}}?(?<![\w.,/+(-])(\d{{2}}-\d{{2}}-\d{{2}}(?: \d{{6,8}})?|\d{{4}}(?:[ -]\d{{4}}){{1,3}}(?:[ -]\d{{1,3}})?|\d{{6,18}})(?![\w-])")
+_ACCOUNT = re.compile(r"[ :#.]*+(?:(?:number|no|nr|is|was|reads|ending in)\b[ :#.]*+){0,3}(?<![\w.,/+(-])(\d{2}-\d{2}-\d{2}(?: \d{6,8})?|\d{4}(?:[ -]\d{4}){1,3}(?:[ -]\d{1,3})?|\d{6,18})(?![\w-])", re.I)
 _IBAN = re.compile(r"[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?!\w)")
 _CARD = re.compile(r"(?<![\w.,#/+-])(?:\d{4}(?:[ -]\d{4}){3}|\d{15,16})(?![\w-])")
 _AFTER_STREET = re.compile(rf" (?:(?:del|de la|de los|de|du|des|della|di|da) )?({_W}(?: {_W})?) \d{{1,4}}[A-Za-z]?(?!\w|[.,:]\d)", re.I)
