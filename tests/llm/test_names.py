@@ -168,3 +168,19 @@ def test_against_comparing_all(spark):
     alike = lambda d: {frozenset(x for x in d if d[x] == e) for e in set(d.values())}
     assert set(got) == set(want) and alike(got) == alike(want), alike(got) ^ alike(want)
     assert 60 < len(alike(got)) < len(got)
+
+
+def test_typos_in_a_table_with_all_surnames(spark):
+    rnd = random.Random(7)
+    given = ["robert", "karin", "theodore", "maria", "edward", "samuel", "victoria", "gabriel", "leila", "lars"]
+    family = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(4000)]
+    near = [f"{f[:7]}{'z' if f[7] != 'z' else 'y'}" for f in family[:5]]  # both surnames stand beside other given names, too
+    form = lambda a, b: "p|" + "|".join(sorted((a, b)))
+    counted = {form(a, b): 50 for a in given for b in family[5:]} | {form(a, b): 50 for a in given[:6] for b in family[:5]} | {form(a, b): 40 for a in given[:3] + given[6:] for b in near}
+    typos = {form(a, f"{b[:4]}{b[5:]}"): form(a, b) for a, b in zip(given * 1000, rnd.choices(family[5:], k=10_000))}
+    others = {form(a, y): form(a, x) for a in given[:3] for x, y in zip(family, near)}
+    counted |= dict.fromkeys(typos, 12)
+    counts = spark.createDataFrame(list(counted.items()), "form string, n bigint")
+    pairs = spark.createDataFrame([(v, c, counted[v], counted[c]) for v, c in (typos | others).items()], "form string, parent string, n bigint, parent_n bigint")
+    got = {r.form: r.parent for r in names._attached(counts, pairs.mapInArrow(names._scored, names._SCORED_DDL)).collect()}
+    assert got.items() ^ typos.items() == set()

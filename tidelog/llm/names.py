@@ -15,7 +15,7 @@ doubling finds every form's root.
 
 Only distinct spellings and their counts are joined; the counts are combined before the shuffle, so a
 label that holds a third of all rows is one row. What is known of words and word pairs stays in tables;
-only ten sums come to the driver.
+only eleven sums come to the driver.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ LONGEST = 100
 WAYS = {"typo": -4.0, "nickname": -2.3, "initial": -2.5, "user name": -4.0, "dropped": -2.0}
 #: What is supposed before any typo is counted: so many typos, of which each has one in ``RARE`` of its name's uses, one typed form in ten names.
 SUPPOSED, RARE, TYPED = 40.0, 40.0, 0.1
+#: So many names are supposed to have a word of their own before any is counted; a table of fewer says little of how many words are still unseen.
+NOVEL = 1000.0
 #: Ways to mistype a letter (others in its place or before it, none, swapped); letters of which a word that is no known name is made, and how many such words are names.
 MISTYPED, LETTERS, UNKNOWN = 54, 26, 1e6
 #: Forms of address, roles after a name, legal forms and what else follows an organisation's name.
@@ -218,8 +220,8 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int64(), pa.bool_(), pa.string()))], names=["form", "n", "candidate", "key"])
 
 
-_SCORED = pa.schema([("form", pa.string()), ("parent", pa.string()), ("n", pa.int64()), ("parent_n", pa.int64()), ("way", pa.string()), ("typos", pa.int32()), ("places", pa.float64()), ("unknown", pa.float64()), ("unknown_old", pa.float64()), ("old", pa.string()), ("new", pa.string()), ("stays", pa.string()), ("first_guess", pa.float64())])
-_SCORED_DDL = "form string, parent string, n bigint, parent_n bigint, way string, typos int, places double, unknown double, unknown_old double, old string, new string, stays string, first_guess double"
+_SCORED = pa.schema([("form", pa.string()), ("parent", pa.string()), ("n", pa.int64()), ("parent_n", pa.int64()), ("way", pa.string()), ("typos", pa.int32()), ("places", pa.float64()), ("unknown", pa.float64()), ("unknown_old", pa.float64()), ("old", pa.string()), ("new", pa.string()), ("stays", pa.string()), ("mistyped", pa.list_(pa.string())), ("first_guess", pa.float64())])
+_SCORED_DDL = "form string, parent string, n bigint, parent_n bigint, way string, typos int, places double, unknown double, unknown_old double, old string, new string, stays string, mistyped array<string>, first_guess double"
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +233,7 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 most = math.inf if v[0] == "o" else math.log(UNKNOWN)  # of an organisation all words are one
                 unknown, unknown_old = (-sum(min(len(w) * math.log(LETTERS), most) for w in ws) for ws in (way.new, way.old))
                 one = len(way.old) == 1 and way.way == "typo" and v[0] == "p"
-                for column, value in zip(rows, (v, c, n, m, way.way, len(way.old), places, unknown, unknown_old, way.old[0] if one else None, way.new[0] if one else None, way.stays if one else None, math.log(m) + way.likelihood)):
+                for column, value in zip(rows, (v, c, n, m, way.way, len(way.old), places, unknown, unknown_old, way.old[0] if one else None, way.new[0] if one else None, way.stays if one else None, list(way.new) if v[0] == "p" else [], math.log(m) + way.likelihood)):
                     column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _SCORED)], schema=_SCORED)
 
@@ -247,12 +249,14 @@ def _attached(counts: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Against a typo stands a name of its own: as many names as have the unchanged word, times the chance
     that one has the typed word: by the names that have it in other company than the word it would be
-    a typo of, or letter by letter if there are none. The more frequent of the two may be the typo, so
+    a typo of, or letter by letter if there are none, times the share of names with a word that no other
+    name has and no typo explains. That share falls as the names of a large table use up the words there
+    are, while ever more names have the unchanged word. The more frequent of the two may be the typo, so
     either may have been meant.
     """
     word = F.explode(F.expr("array(struct(w[1] as word, w[2] as beside), struct(w[2] as word, w[1] as beside))")).alias("x")
     words = counts.where("left(form, 2) = 'p|'").select(F.split("form", r"\|").alias("w")).select(word).select("x.word", "x.beside")
-    known = words.groupBy("word").agg(F.count_distinct(_root(F.col("beside"))).alias("company"), F.count(F.lit(1)).alias("names"))
+    known = cut(words.groupBy("word").agg(F.count_distinct(_root(F.col("beside"))).alias("company"), F.count(F.lit(1)).alias("names")))
     two = [F.least("old", "new").alias("one"), F.greatest("old", "new").alias("other")]
     shared = pairs.where("old is not null").groupBy(*two).agg(F.count_distinct(_root(F.col("stays"))).alias("shared"))
     beside = lambda word: F.greatest(F.coalesce(F.col(f"{word}_company") - F.col("shared"), F.lit(0)), F.lit(0)).alias(f"{word}_support")
@@ -262,7 +266,7 @@ def _attached(counts: DataFrame, pairs: DataFrame) -> DataFrame:
         .join(known.select(F.col("word").alias("new"), F.col("company").alias("new_company")), "new", "left")
         .join(known.select(F.col("word").alias("old"), F.col("company").alias("old_company")), "old", "left")
         .join(known.select(F.col("word").alias("stays"), "names"), "stays", "left")
-        .select("form", "parent", "n", "parent_n", "way", "typos", "places", "unknown", "unknown_old", "names", "first_guess", beside("new"), beside("old"))
+        .select("form", "parent", "n", "parent_n", "way", "typos", "places", "unknown", "unknown_old", "names", "mistyped", "first_guess", beside("new"), beside("old"))
     )
     judged = cut(judged)
     # Estimates from each form's best candidate; words that are names elsewhere, too, prove nothing about typos.
@@ -274,6 +278,8 @@ def _attached(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     ).first()
     forms = counts.agg(F.count(F.lit(1)).alias("forms"), F.max("n").alias("most")).first()
     total = max(forms["forms"], 1)
+    lone = known.where("company = 1").join(judged.select(F.explode("mistyped").alias("word")), "word", "left_anti").count()
+    novel = F.when(F.expr("left(form, 2) = 'p|'"), math.log((lone + NOVEL) / (total + NOVEL))).otherwise(0.0)
     rarity = (sums["typo"] + SUPPOSED) / (sums["shares"] + SUPPOSED / RARE)  # the shares of typos are Beta(1, rarity)
     rate = {w: math.log((sums[w] + SUPPOSED * (TYPED if w == "typo" else math.exp(WAYS[w]))) / (total + SUPPOSED)) for w in WAYS}
     share = F.col("n") / (F.col("n") + F.col("parent_n"))
@@ -281,7 +287,7 @@ def _attached(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     def typed(share: Column, support: str, unknown: str) -> Column:
         """Log-odds that the form with this share of both's uses is a typo, and no name of its own."""
         counted = math.log(rarity) + (rarity - 1) * F.log(1 - share) + F.log(share) + math.log(1 + math.log(forms["most"] or 1))
-        elsewhere = F.when(F.col(support) > 0, F.log(F.col(support) / F.lit(total))).otherwise(F.col(unknown))
+        elsewhere = F.when(F.col(support) > 0, F.log(F.col(support) / F.lit(total))).otherwise(F.col(unknown) + novel)
         return rate["typo"] * F.col("typos") - F.col("places") + counted - F.coalesce(F.log("names"), F.lit(math.log(total))) - elsewhere
 
     one = F.greatest(typed(share, "new_support", "unknown"), typed(1 - share, "old_support", "unknown_old"))
